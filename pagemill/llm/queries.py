@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cross_split, languages, leaks, natural_cuts, text_kinds, text_stats, tied_splits, top_items
+from pagemill.llm import cross_split, languages, leaks, natural_cuts, packing, scan_repair, text_kinds, text_stats, tied_splits, top_items
 from pagemill.plans.tables import table
 
 
@@ -35,6 +35,14 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("stored_count_wrong", wrong).drop("stored")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.damaged_lines(_unique_pages(spark, folder))
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repaired(_unique_pages(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return tied_splits.record_groups(table(spark, folder, "reasoning_inputs")).filter("size >= 2").select("question_id", "group_id")
 
@@ -67,6 +75,16 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return natural_cuts.cut_pages(_unique_pages(spark, folder), table(spark, folder, "size_limits"))
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    size, _ = natural_cuts._limit(table(spark, folder, "size_limits"), "pack_large")
+    return packing.packed(table(spark, folder, "documents"), size)
+
+
+def p7_packed_small(spark: SparkSession, folder: str) -> DataFrame:
+    size, _ = natural_cuts._limit(table(spark, folder, "size_limits"), "pack_small")
+    return packing.packed(table(spark, folder, "documents"), size)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
@@ -83,7 +101,7 @@ def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p6_pieces, p8_found, p9_found, p9_stretches)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p6_pieces, p7_packed, p7_packed_small, p8_found, p9_found, p9_stretches)}
 
 
 SQL: dict[str, str] = {}
