@@ -49,6 +49,7 @@ _BREAK = re.compile(rf"([^\W_]+(?:[-!][^\W_]+)*)([{HYPHENS}])[ \t]*$")
 _NEXT = re.compile(r"[ \t]*((?:!?[^\W\d_]|[0-9](?=[^\W\d_]))[^\W_]*(?:!?[^\W_]+)*)")
 _PAGE = re.compile(r"^(?:(p\.|page|seite|pág\.|pag\.|blz\.)\s*)?([-–—\[(|])?\s*([0-9lIOoSsbgZB]{1,5})\s*(?:(?:/|of|von|de|di|sur|van)\s*([0-9lIOoSsbgZB]{1,5}))?\s*([-–—\])|])?$", re.IGNORECASE)
 _SECTION, _GOES_ON = re.compile(r"\d+\.\d"), re.compile(r"[^\W\d_]{2}")
+_ENTRY = re.compile(r"\d+\.\d+\s|\w{1,3}[.)]\s|[•·▪◦*–—-]\s")
 _DIGITS = str.maketrans("lIOoSsbgZB", "1100556928")
 _SHAPE = str.maketrans("0159!6cfIOS", "olsgibetlos")
 
@@ -375,7 +376,7 @@ def repair_text(text: str, marks: list[dict]) -> str:
         part = line.strip()
         if open_ == "word":
             paragraphs[-1] += part
-        elif open_ and (part[:1].islower() or (lines[k - 1] is not None and len(lines[k - 1] or "") >= 0.75 * width and not part[:1].isdigit())):
+        elif open_ and (part[:1].islower() or (lines[k - 1] is not None and len(lines[k - 1] or "") >= 0.75 * width and not _ENTRY.match(part))):
             paragraphs[-1] += " " + part
         else:
             paragraphs.append(part)
