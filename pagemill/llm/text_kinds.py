@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -249,7 +250,7 @@ def kind_rules(spark: SparkSession, labelled: int = LABELLED, seed: int = 11) ->
     """The CASE expression learned from ``labelled`` made texts."""
     if (labelled, seed) not in _learned:
         made = Maker(seed).texts(labelled)
-        rows = with_stats(spark.createDataFrame(made, "text string, label string").coalesce(4)).select("label", *ASKED).collect()
+        rows = with_stats(spark.createDataFrame(made, "text string, label string").coalesce(4), names=ASKED).select("label", *ASKED).collect()
         x = {k: np.array([r[k] for r in rows]) for k in ASKED}
         _learned[labelled, seed] = as_case(induce(x, np.array([r["label"] for r in rows])))
     return _learned[labelled, seed]
@@ -259,7 +260,8 @@ def with_kind(df: DataFrame, text: str = "text", labelled: int = LABELLED) -> Da
     """Adds ``visible`` and ``kind`` (prose, list, table or junk)."""
     rules = kind_rules(df.sparkSession, labelled)
     kept = df.columns
-    return with_stats(df, text).select(*kept, "visible", F.expr(rules).alias("kind"))
+    asked = tuple(k for k in ASKED if re.search(rf"\b{k}\b", rules))
+    return with_stats(df, text, ("visible", *asked)).select(*kept, "visible", F.expr(rules).alias("kind"))
 
 
 def not_prose(df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:

@@ -56,26 +56,31 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
 
 
-def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns of ``STATS``. A null text counts as an empty one; shares of nothing are 0."""
+def with_stats(df: DataFrame, text: str = "text", names: tuple[str, ...] = STATS) -> DataFrame:
+    """Adds the columns ``names`` of ``STATS``. A null text counts as an empty one; shares of nothing are 0.
+
+    The statistics are one generated row of fields, so a filter on what is derived from them does not
+    evaluate them again for each mention.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     bare = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
     without = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    n = F.col("_n")
-    words = F.col("word_count")
-    df = df.withColumn("visible", bare(t).cast("bigint")).withColumn("_n", F.length(t))
-    df = df.withColumn("word_count", F.regexp_count(t, F.lit(r"[\p{L}\p{M}]+")).cast("bigint"))
-    df = df.withColumn("_lines", F.regexp_count(t, F.lit(r"(?m)^.*\S")).cast("bigint"))
+    n, words, letters = F.col("_n"), F.col("_words"), F.col("_letters")
+    kept = df.columns
+    df = df.withColumns({"_visible": bare(t).cast("bigint"), "_n": F.length(t), "_words": F.regexp_count(t, F.lit(r"[\p{L}\p{M}]+")).cast("bigint")})
+    df = df.withColumns({"_letters": (n - without(r"[\p{L}\p{M}]+")).cast("double"), "_lines": F.regexp_count(t, F.lit(r"(?m)^.*\S")).cast("bigint")})
     out = {
-        "mean_word_length": _ratio((n - without(r"[\p{L}\p{M}]+")).cast("double"), words),
-        "letter_share": _ratio((n - without(r"[\p{L}\p{M}]+")).cast("double"), F.col("visible")),
-        "symbol_ratio": _ratio((n - without(r"[^\p{L}\p{M}\p{N}\s.,;:!?'’()%/-]+")).cast("double"), F.col("visible")),
-        "digit_ratio": _ratio((n - without(r"\p{N}+")).cast("double"), F.col("visible")),
+        "visible": F.col("_visible"),
+        "word_count": words,
+        "mean_word_length": _ratio(letters, words),
+        "letter_share": _ratio(letters, F.col("_visible")),
+        "symbol_ratio": _ratio((n - without(r"[^\p{L}\p{M}\p{N}\s.,;:!?'’()%/-]+")).cast("double"), F.col("_visible")),
+        "digit_ratio": _ratio((n - without(r"\p{N}+")).cast("double"), F.col("_visible")),
         "line_count": F.col("_lines"),
         "words_per_line": _ratio(words.cast("double"), F.col("_lines")),
         "line_end_share": _ratio(F.regexp_count(t, F.lit(r"(?m)[.!?][\"'»”’)\]]*[ \t]*$")).cast("double"), F.col("_lines")),
         "common_share": _ratio(F.regexp_count(t, F.lit(r"(?i)(?<![\p{L}\p{M}])" + alternation(COMMON) + r"(?![\p{L}\p{M}])")).cast("double"), words),
-        "sentences_per_100": _ratio(100.0 * F.regexp_count(t, F.lit(r"\p{L}{2}[)\"'»”’]*[.!?](?=\s|$)")), words),
+        "sentences_per_100": _ratio(100.0 * F.regexp_count(t, F.lit(r"[.!?](?=\s|$)(?<=\p{L}{2}[)\"'»”’]{0,3}[.!?])")), words),
         "value_share": _ratio(F.regexp_count(t, F.lit(r"(?<![^\s;|/:])" + VALUE + r"(?![^\s;|/])")).cast("double"), F.regexp_count(t, F.lit(r"[^\s;|/]+"))),
         "table_share": _ratio((n - without(r"(?m)^(?:[^\n]{0,60}?(?:[ \t;|/:=]+" + VALUE + r"){2,}|[ \t]*" + VALUE + r"|(?:[^\s;|]{0,40};|\|[^\n|]{0,40})(?:[;|][^\n;|]{0,20})+)[ \t;|/]*$\n?")).cast("double"), n),
         "entry_share": _ratio((n - without(r"(?m)^[ \t]*" + _START + r"[^\n]{0,120}[^.!?\s\n][ \t]*\n(?=\s*" + _START + r")")).cast("double"), n),
@@ -85,4 +90,5 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "upset_ratio": _ratio((n - without(r"[\u0080-\u00BF\u00D7\u00F7\u0152-\u0153\u0160-\u0161\u0178\u017D-\u017E\u0192\u02B0-\u02FF\u2020-\u2021\u20AC\u2122\uFFFD]+|\(cid:\d+\)")).cast("double"), n),
         "repeat_share": F.lit(1.0) - _ratio(F.size(F.array_distinct(F.split(F.lower(t), r"\s+"))).cast("double"), F.size(F.split(t, r"\s+"))),
     }
-    return df.withColumns(out).drop("_n", "_lines")
+    fields = F.struct(*[out[k].alias(k) for k in names])
+    return df.select(*kept, F.explode(F.array(fields)).alias("_s")).select(*kept, "_s.*")
