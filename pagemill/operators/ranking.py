@@ -25,7 +25,7 @@ def at_depths(run: DataFrame, gold: DataFrame, depths: tuple[int, ...] = (1, 3,
     """
     size = gold.groupBy("question_id").agg(F.count("*").alias("gold"))
     hits = gold.join(run.filter(F.col("rank") <= max(depths)), ["question_id", "doc_id", "page"]).select("question_id", "rank")
-    grid = size.withColumn("k", F.explode(F.array(*map(F.lit, depths))).cast("bigint"))
+    grid = size.withColumn("k", F.explode(F.array(*map(F.lit, depths)).cast("array<bigint>")))
     inside = F.when(F.col("rank") <= F.col("k"), F.col("rank"))
     gain = 1.0 / F.log2(inside + 1)
     per = grid.join(hits, "question_id", "left").groupBy("question_id", "k", "gold").agg(F.count(inside).alias("tp"), F.min(inside).alias("first"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"))
@@ -43,7 +43,7 @@ def at_depths(run: DataFrame, gold: DataFrame, depths: tuple[int, ...] = (1, 3,
 
 def macro_micro() -> list[Column]:
     """Aggregates of question metrics: means over questions and ratios of totals."""
-    mean = lambda c: F.round(F.avg(c), 6).alias(f"mean_{c}")
+    mean = lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}")
     return [
         F.count("*").alias("questions"), mean("any_hit"), mean("complete"), mean("recall"), mean("precision"), mean("rr"), mean("ndcg"),
         F.sum("tp").alias("tp"), F.sum("gold").alias("gold"),
