@@ -43,7 +43,7 @@ def at_depths(run: DataFrame, gold: DataFrame, depths: tuple[int, ...] = (1, 3,
 
 def macro_micro() -> list[Column]:
     """Aggregates of question metrics: means over questions and ratios of totals."""
-    mean = lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}")
+    mean = lambda c: F.round(F.avg(c) + 1e-9, 4).alias(f"mean_{c}")
     return [
         F.count("*").alias("questions"), mean("any_hit"), mean("complete"), mean("recall"), mean("precision"), mean("rr"), mean("ndcg"),
         F.sum("tp").alias("tp"), F.sum("gold").alias("gold"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import retrieval
+from pagemill.plans import analysis, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, analysis)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -173,7 +173,7 @@ def score_at_k(spark, folder):
 _SLICES = """tags AS (SELECT question_id, min(source) AS source, min(split) AS split, CASE WHEN count(DISTINCT condition) = 1 THEN min(condition) ELSE 'mixed' END AS kind FROM reasoning_inputs WHERE question_id IS NOT NULL GROUP BY question_id)"""
 
 
-@query(f"""WITH {_DEPTHS}, {_SLICES} SELECT k, coalesce(source, '*') AS source, coalesce(split, '*') AS split, coalesce(kind, '*') AS kind, count(*) AS questions, round(avg(any_hit), 4) AS mean_any_hit, round(avg(complete), 4) AS mean_complete, round(avg(recall), 4) AS mean_recall, round(avg(precision), 4) AS mean_precision, round(avg(rr), 4) AS mean_rr, round(avg(ndcg), 4) AS mean_ndcg,
+@query(f"""WITH {_DEPTHS}, {_SLICES} SELECT k, coalesce(source, '*') AS source, coalesce(split, '*') AS split, coalesce(kind, '*') AS kind, count(*) AS questions, round(avg(any_hit) + 1e-9, 4) AS mean_any_hit, round(avg(complete) + 1e-9, 4) AS mean_complete, round(avg(recall) + 1e-9, 4) AS mean_recall, round(avg(precision) + 1e-9, 4) AS mean_precision, round(avg(rr) + 1e-9, 4) AS mean_rr, round(avg(ndcg) + 1e-9, 4) AS mean_ndcg,
 sum(tp)::BIGINT AS tp, sum(gold)::BIGINT AS gold, round((sum(tp) / sum(gold))::DOUBLE, 6) AS micro_recall, round((sum(tp) / sum(k))::DOUBLE, 6) AS micro_precision
 FROM m JOIN tags USING (question_id) GROUP BY GROUPING SETS ((k), (k, source), (k, split), (k, kind))""")
 def score_slices_grouping_sets(spark, folder):
