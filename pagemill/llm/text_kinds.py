@@ -28,7 +28,9 @@ from pagemill.llm.text_stats import COMMON, with_stats
 
 LEAST = 100
 #: Number of labelled texts the rules are induced from.
-LABELLED = 1600
+LABELLED = 2000
+#: Held-out texts of its kind that a rule must cover to be kept.
+SUPPORT = 6
 KINDS = ("junk", "table", "list")
 #: Statistics the rules may use.
 ASKED = ("mean_word_length", "letter_share", "common_share", "sentences_per_100", "table_share", "entry_share")
@@ -230,7 +232,7 @@ def induce(x: dict[str, np.ndarray], labels: np.ndarray, kinds: tuple[str, ...]
             if not ways:
                 break
             rule = max(ways, key=lambda w: (_worth(w, xt, yt), -len(w.conditions)))
-            if _worth(rule, xt, yt) <= 0.5:
+            if _worth(rule, xt, yt) <= 0.5 or (rule.covers(xt) & yt).sum() < SUPPORT:
                 break
             rules.append(rule)
             left &= ~rule.covers(x)
@@ -256,15 +258,15 @@ def kind_rules(spark: SparkSession, labelled: int = LABELLED, seed: int = 11) ->
     return _learned[labelled, seed]
 
 
-def with_kind(df: DataFrame, text: str = "text", labelled: int = LABELLED) -> DataFrame:
-    """Adds ``visible`` and ``kind`` (prose, list, table or junk)."""
+def with_kind(df: DataFrame, text: str = "text", labelled: int = LABELLED, also: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``kind`` (prose, list, table or junk) and the statistics ``also``."""
     rules = kind_rules(df.sparkSession, labelled)
     kept = df.columns
     asked = tuple(k for k in ASKED if re.search(rf"\b{k}\b", rules))
-    return with_stats(df, text, ("visible", *asked)).select(*kept, "visible", F.expr(rules).alias("kind"))
+    return with_stats(df, text, (*also, *(k for k in asked if k not in also))).select(*kept, *also, F.expr(rules).alias("kind"))
 
 
 def not_prose(df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
     """Keys and kind of the texts whose larger part is no prose."""
-    found = with_kind(df.select(*keys, F.col(text).alias("text")))
+    found = with_kind(df.select(*keys, F.col(text).alias("text")), also=("visible",))
     return found.filter((F.col("visible") >= LEAST) & (F.col("kind") != "prose")).drop("text", "visible").distinct()

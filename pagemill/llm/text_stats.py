@@ -50,6 +50,7 @@ STATS = (
     "line_end_share", "common_share", "sentences_per_100", "value_share", "table_share", "entry_share", "bullet_share",
     "voiceless_share", "long_token_share", "upset_ratio", "repeat_share",
 )
+_OF_VISIBLE = {"visible", "symbol_ratio", "digit_ratio"}
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -66,14 +67,14 @@ def with_stats(df: DataFrame, text: str = "text", names: tuple[str, ...] = STATS
     bare = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
     without = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     n, words, letters = F.col("_n"), F.col("_words"), F.col("_letters")
-    kept = df.columns
-    df = df.withColumns({"_visible": bare(t).cast("bigint"), "_n": F.length(t), "_words": F.regexp_count(t, F.lit(r"[\p{L}\p{M}]+")).cast("bigint")})
+    kept, needs = df.columns, set(names)
+    df = df.withColumns({"_visible": bare(t).cast("bigint") if needs & _OF_VISIBLE else F.lit(None), "_n": F.length(t), "_words": F.regexp_count(t, F.lit(r"[\p{L}\p{M}]+")).cast("bigint")})
     df = df.withColumns({"_letters": (n - without(r"[\p{L}\p{M}]+")).cast("double"), "_lines": F.regexp_count(t, F.lit(r"(?m)^.*\S")).cast("bigint")})
     out = {
         "visible": F.col("_visible"),
         "word_count": words,
         "mean_word_length": _ratio(letters, words),
-        "letter_share": _ratio(letters, F.col("_visible")),
+        "letter_share": _ratio(letters, n),
         "symbol_ratio": _ratio((n - without(r"[^\p{L}\p{M}\p{N}\s.,;:!?'’()%/-]+")).cast("double"), F.col("_visible")),
         "digit_ratio": _ratio((n - without(r"\p{N}+")).cast("double"), F.col("_visible")),
         "line_count": F.col("_lines"),
