@@ -38,15 +38,16 @@ from pagemill.session import ship
 MISREAD = (("0", "o"), ("1", "l"), ("5", "s"), ("6", "b"), ("9", "g"), ("!", "i"), ("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("m", "in"), ("c", "e"), ("f", "t"))
 #: A correct word must be this many times as frequent as its misread form.
 TIMES = 10
-EDGE, SLOTS = 3, 1 << 20
+EDGE, SLOTS = 2, 1 << 22
 #: Least share of a file's pages on which a running line recurs.
 RUNNING = 0.12
 #: Entries after which a task hands its counts on; bounds its memory.
 FLUSH = 300_000
 HYPHENS = "-¬­‐"
 _TOKEN = re.compile(r"!?[^\W_]+(?:[-!][^\W_]+)*")
-_BREAK = re.compile(rf"([^\W_]+(?:[-!][^\W_]+)*)([{HYPHENS}])[ \t]*$")
-_NEXT = re.compile(r"[ \t]*((?:!?[^\W\d_]|[0-9](?=[^\W\d_]))[^\W_]*(?:!?[^\W_]+)*)")
+#: A mark at a line's end with the start of the next line, and the word that ends before it.
+_BREAK = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W_]|!)")
+_BEFORE = re.compile(r"[^\W_]+(?:[-!][^\W_]+)*$")
 _PAGE = re.compile(r"^(?:(p\.|page|seite|pág\.|pag\.|blz\.)\s*)?([-–—\[(|])?\s*([0-9lIOoSsbgZB]{1,5})\s*(?:(?:/|of|von|de|di|sur|van)\s*([0-9lIOoSsbgZB]{1,5}))?\s*([-–—\])|])?$", re.IGNORECASE)
 _SECTION, _GOES_ON = re.compile(r"\d+\.\d"), re.compile(r"[^\W\d_]{2}")
 _ENTRY = re.compile(r"\d+\.\d+\s|\w{1,3}[.)]\s|[•·▪◦*–—-]\s")
@@ -69,7 +70,7 @@ def line_key(line: str) -> str:
             out.append("#")
             continue
         w = unicodedata.normalize("NFKC", w).casefold().translate(_SHAPE)
-        for a, b in (("vv", "w"), ("rn", "m"), ("d", "el"), ("ii", "u"), ("li", "h"), ("in", "m")):
+        for a, b in (("vv", "w"), ("rn", "m"), ("d", "el"), ("ii", "u"), ("in", "m"), ("li", "h")):
             w = w.replace(a, b)
         out.append(w)
     key = " ".join(out)
@@ -113,7 +114,7 @@ class _Out:
 
     def flush(self, all_: bool = False) -> Iterator[pa.RecordBatch]:
         if all_ or len(self.words) > FLUSH:
-            self.rows += [("word", None, None, None, w, None, n) for w, n in self.words.items()]
+            self.rows += [("word", None, None, None, w, None, n) for w, n in self.words.items() if n]
             self.words.clear()
         if all_ or len(self.names) > FLUSH:
             self.rows += [("name", d, None, None, w, None, n) for (d, w), n in self.names.items()]
@@ -125,23 +126,20 @@ class _Out:
             self.rows = []
 
 
-def _line_tokens(lines: list[str]) -> tuple[list[tuple[int, str, str, str]], list[list[str]]]:
-    """Broken words ``(line, first part, mark, second part)`` and the whole tokens of each line."""
-    tokens = [_TOKEN.findall(x) for x in lines]
-    broken = []
-    for k in range(len(lines) - 1):
-        tail = lines[k].rstrip(" \t\r")[-1:]
-        if tail and tail in HYPHENS and tokens[k]:
-            m = _BREAK.search(lines[k])
-            n = _NEXT.match(lines[k + 1]) if m else None
-            if m and n and any(c.isalpha() for c in m.group(1)) and not n.group(1)[0].isupper() and tokens[k + 1]:
-                broken.append((k, m.group(1), m.group(2), tokens[k + 1][0]))
-    for k, _, _, _ in broken:
-        tokens[k].pop()
-    for k, _, _, _ in broken:
-        if tokens[k + 1]:
-            tokens[k + 1].pop(0)
-    return broken, tokens
+def broken_at(text: str) -> list[tuple[int, str, str, str]]:
+    """Broken words ``(line from 0, first part, mark, second part)``."""
+    out, line, at = [], 0, 0
+    for m in _BREAK.finditer(text):
+        first, second = _BEFORE.search(text[max(0, m.start() - 60) : m.start()]), _TOKEN.match(text, m.end())
+        if not first or not second:
+            continue
+        a, b = first.group(), second.group()
+        if b[0].isupper() or (b[0].isdigit() and not b[1:2].isalpha()) or not any(c.isalpha() for c in a):
+            continue
+        line += text.count("\n", at, m.start())
+        at = m.start()
+        out.append((line, a, text[m.start()], b))
+    return out
 
 
 def _first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,16 +158,17 @@ def _first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     out.rows.append(("number", d, p, k + 1, "written" if num[1] else "bare", str(at), num[0]))
                 elif len(line) <= 120 and not (at > 0 and k + 1 < len(lines) and _goes_on(lines[k + 1])) and (key := line_key(line)):
                     out.rows.append(("edge", d, p, k + 1, key, line, at))
-            broken, tokens = _line_tokens(lines)
-            for k, a, mark, b in broken:
+            words, names, tokens = out.words, out.names, _TOKEN.findall(t)
+            words.update(tokens)
+            for w in set(tokens):
+                if w[0].isupper() and len(w) >= 5 and w[1:].islower():
+                    names[d, w] += 1
+            for k, a, mark, b in broken_at(t):
                 out.rows.append(("break", d, p, k + 1, a, b, 1 if mark == "-" or mark == "‐" else 0))
+                words[a] -= 1  # parts are no words
+                words[b] -= 1
                 if mark not in "-‐":
-                    out.words[a + b] += 1
-            for line in tokens:
-                out.words.update(line)
-                for w in line:
-                    if w[0].isupper() and len(w) >= 5 and w[1:].islower():
-                        out.names[d, w] += 1
+                    words[a + b] += 1
         yield from out.flush()
     yield from out.flush(True)
 
@@ -227,7 +226,7 @@ def misread_words(read: DataFrame) -> DataFrame:
 
 def running_lines(read: DataFrame) -> DataFrame:
     """``doc_id, page, line_no``: running headers and footers."""
-    edge = stored(read.filter("kind = 'edge'").select("doc_id", "page", "line_no", F.col("a").alias("key"), F.col("n").alias("at")).distinct(), "scan-edges")
+    edge = stored(read.filter("kind = 'edge'").select("doc_id", "page", "line_no", F.col("a").alias("key"), F.col("n").alias("at")), "scan-edges")
     pages = edge.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     often = edge.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n")).join(pages, "doc_id")
     own = often.filter((F.col("n") >= 2) & (F.col("n") >= RUNNING * F.col("pages")))
@@ -240,7 +239,7 @@ def running_lines(read: DataFrame) -> DataFrame:
 
 def number_lines(read: DataFrame) -> DataFrame:
     """``doc_id, page, line_no``: lines that are only the page number."""
-    nums = read.filter("kind = 'number'").select("doc_id", "page", "line_no", F.col("a").alias("how"), (F.col("n") - F.col("page")).alias("off")).distinct()
+    nums = read.filter("kind = 'number'").select("doc_id", "page", "line_no", F.col("a").alias("how"), (F.col("n") - F.col("page")).alias("off"))
     nums = stored(nums, "scan-numbers")
     votes = nums.groupBy("doc_id", "off").agg(F.count_distinct("page").alias("n"), F.max(F.when(F.col("how") == "written", 1).otherwise(0)).alias("w"))
     best = votes.groupBy("doc_id").agg(F.max_by("off", F.struct("n", "w", -F.abs("off"))).alias("best"), F.max("n").alias("n"))
@@ -252,7 +251,7 @@ def number_lines(read: DataFrame) -> DataFrame:
 
 def broken_words(read: DataFrame) -> DataFrame:
     """``doc_id, page, line_no``: lines that end within a word which goes on in the next line."""
-    breaks = stored(read.filter("kind = 'break'").select("doc_id", "page", "line_no", "a", "b", "n").distinct(), "scan-breaks")
+    breaks = stored(read.filter("kind = 'break'").select("doc_id", "page", "line_no", "a", "b", "n"), "scan-breaks")
     hard = breaks.filter("n = 1").select("a", "b").distinct()
     words = read.filter("kind = 'word'").groupBy(F.lower("a").alias("w")).agg(F.sum("n").alias("c"))
     look = hard.select("a", "b", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lower(w).alias("w")) for k, w in (("whole", F.concat("a", "b")), ("compound", F.concat_ws("-", "a", "b")), ("left", F.regexp_extract("a", r"([^-]+)$", 1)), ("right", F.regexp_extract("b", r"^([^-]+)", 1)))])).alias("x")).select("a", "b", "x.k", "x.w")
@@ -262,7 +261,7 @@ def broken_words(read: DataFrame) -> DataFrame:
     whole = F.when(known, F.col("whole") >= F.col("compound")).otherwise((F.col("left") < 3) | (F.col("right") < 3))
     # parts that never stand alone: a word, even if the corpus does not know it whole
     plain = joined.filter(whole).select("a", "b")
-    return breaks.filter("n = 0").select("doc_id", "page", "line_no").unionByName(breaks.filter("n = 1").join(plain, ["a", "b"], "left_semi").select("doc_id", "page", "line_no")).distinct()
+    return breaks.filter("n = 0").select("doc_id", "page", "line_no").unionByName(breaks.filter("n = 1").join(plain, ["a", "b"], "left_semi").select("doc_id", "page", "line_no"))
 
 
 def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
@@ -281,22 +280,22 @@ def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
             for d, p, t in zip(docs, nums, texts):
                 if not t:
                     continue
-                hits = set()
+                hits = []
                 for w in set(_TOKEN.findall(t)):
                     hit = seen.get(w)
                     if hit is None:
                         hit = seen[w] = on[crc32(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]
                     if hit:
-                        hits.add(w)
+                        hits.append(w)
                 if len(seen) > FLUSH:
                     seen.clear()
-                broken = any(h + "\n" in t or h + " \n" in t for h in HYPHENS)
-                if not hits and not broken:
-                    continue
-                lines = t.split("\n")
-                parts, tokens = _line_tokens(lines) if broken else ([], [_TOKEN.findall(x) for x in lines])
-                for k, line in enumerate(tokens):
-                    rows += [(d, p, k + 1, w, 0) for w in line if w in hits]
+                parts = broken_at(t)
+                inner = {(k, a) for k, a, _, _ in parts} | {(k + 1, b) for k, _, _, b in parts}
+                if hits:
+                    for k, line in enumerate(t.split("\n")):
+                        for w in hits:
+                            if w in line and (k, w) not in inner and w in _TOKEN.findall(line):
+                                rows.append((d, p, k + 1, w, 0))
                 for k, a, _, b in parts:
                     if on[crc32((a + b).encode("utf-8", "surrogatepass")) & (SLOTS - 1)]:
                         rows.append((d, p, k + 1, a + b, len(a)))
@@ -310,11 +309,11 @@ def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
     # the damage of a broken word is in the line that holds the first differing character
     same = F.length(F.regexp_extract(F.concat_ws("\n", F.lower("word"), F.lower("right")), r"^(.*).*\n\1", 1))
     line = F.when((F.col("cut") > 0) & (same >= F.col("cut")), F.col("line_no") + 1).otherwise(F.col("line_no"))
-    return found.select("doc_id", "page", line.alias("line_no"), "word", "right", "cut").distinct()
+    return found.select("doc_id", "page", line.alias("line_no"), "word", "right")
 
 
-def damages(pages: DataFrame) -> DataFrame:
-    """``doc_id, page, line_no, damage, word, right``: damaged lines of each kind, with the misread words."""
+def _parts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Damaged lines at the edges of pages, each once, and the damage within the other lines."""
     ship(pages.sparkSession)
     rows = pages.filter("doc_id is not null and page is not null and text is not null").select("doc_id", "page", "text")
     read = stored(rows.mapInArrow(_first_reading, _READ), "scan-read")
@@ -323,13 +322,19 @@ def damages(pages: DataFrame) -> DataFrame:
     edges = stored(kind(run, "header").unionByName(kind(number_lines(read).join(run, ["doc_id", "page", "line_no"], "left_anti"), "page_number")), "scan-edge-damage")
     bad = stored(misread_words(read), "scan-misread")
     words = _misread_lines(rows, bad).select("doc_id", "page", "line_no", F.lit("ocr_error").alias("damage"), "word", "right")
-    inner = kind(broken_words(read), "hyphen").unionByName(words).join(edges.select("doc_id", "page", "line_no"), ["doc_id", "page", "line_no"], "left_anti")
-    return edges.unionByName(inner)
+    return edges, kind(broken_words(read), "hyphen").unionByName(words).join(edges.select("doc_id", "page", "line_no"), ["doc_id", "page", "line_no"], "left_anti")
+
+
+def damages(pages: DataFrame) -> DataFrame:
+    """``doc_id, page, line_no, damage, word, right``: damaged lines of each kind, with the misread words."""
+    edges, inner = _parts(pages)
+    return edges.unionByName(inner.distinct())
 
 
 def damaged_lines(pages: DataFrame) -> DataFrame:
     """``doc_id, page, line_no, damage``: one row for each damaged line and kind of damage."""
-    return damages(pages).select("doc_id", "page", "line_no", "damage").distinct()
+    edges, inner = (x.select("doc_id", "page", "line_no", "damage") for x in _parts(pages))
+    return edges.unionByName(inner.distinct())
 
 
 def repaired(pages: DataFrame) -> DataFrame:
