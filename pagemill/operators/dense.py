@@ -14,8 +14,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector with length 1; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    # the length is computed once for the vector, not once for each of its values
+    norms = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))
+    return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
 def cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -54,3 +55,20 @@ def hashed_counts(text: Column, size: int = 64) -> Column:
     """A vector of word counts in ``size`` places by hash: the default encoder, with no model behind it."""
     places = F.transform(tokens(text), lambda w: F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(size)))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+
+
+def hashed_similarity(queries: DataFrame, pages: DataFrame, size: int = 64) -> DataFrame:
+    """``question_id, doc_id, page, score``: cosine of hashed word counts within each question's document.
+
+    Counts stay sparse rows ``(place, n)``, so the products are one join and one sum.
+    """
+
+    def sparse(rows: DataFrame, text: str, *key: str) -> DataFrame:
+        place = F.pmod(F.crc32(F.encode("w", "utf-8")), F.lit(size)).alias("place")
+        c = rows.select(*key, F.explode(tokens(F.col(text))).alias("w")).groupBy(*key, place).agg(F.count("*").alias("n"))
+        norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*key)))
+        return c.select(*key, "place", (F.col("n") / norm).alias("v"))
+
+    q = sparse(queries, "question", "question_id", "doc_id").withColumnRenamed("v", "qv")
+    p = sparse(pages, "text", "doc_id", "page")
+    return q.join(p, ["doc_id", "place"]).groupBy("question_id", "doc_id", "page").agg(F.round(F.sum(F.col("qv") * F.col("v")), 9).alias("score"))

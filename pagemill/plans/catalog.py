@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import analysis, retrieval
+from pagemill.plans import analysis, evidence, retrieval
 
-MODULES = (retrieval, analysis)
+MODULES = (retrieval, analysis, evidence)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
