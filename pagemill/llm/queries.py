@@ -133,6 +133,27 @@ WITH RECURSIVE keys AS (
 SELECT question_id, group_id FROM grp WHERE n >= 2
 """
 
+SQL["p6_found"] = """
+WITH p AS (
+  SELECT doc_id, page, regexp_extract_all(min(coalesce(text, '')), '\\S+') AS w FROM page_records
+  WHERE doc_id IS NOT NULL AND page IS NOT NULL GROUP BY doc_id, page
+), c AS (
+  SELECT DISTINCT doc_id, page, chunk_index, coalesce(text, '') AS text FROM dense_chunks WHERE doc_id IS NOT NULL AND page IS NOT NULL AND chunk_index IS NOT NULL
+), o AS (
+  SELECT c.doc_id, c.page, chunk_index, ' ' || array_to_string(w, ' ') || ' ' AS flat, regexp_extract_all(text, '\\S+') AS own,
+    lag(regexp_extract_all(text, '\\S+')) OVER s AS before, lead(chunk_index) OVER s IS NULL AS last
+  FROM c JOIN p ON p.doc_id = c.doc_id AND p.page = c.page WHERE len(w) > 0
+  WINDOW s AS (PARTITION BY c.doc_id, c.page ORDER BY chunk_index, text)
+), l AS (SELECT max(max_size) AS size, max(overlap) AS overlap FROM size_limits WHERE limit_name = 'dense_chunk')
+SELECT DISTINCT doc_id, page, chunk_index FROM o CROSS JOIN l
+WHERE len(own) = 0 OR len(own) > size OR NOT contains(flat, ' ' || array_to_string(own, ' ') || ' ')
+  OR (before IS NULL AND NOT starts_with(flat, ' ' || array_to_string(own, ' ') || ' '))
+  OR (last AND NOT ends_with(flat, ' ' || array_to_string(own, ' ') || ' '))
+  OR (before IS NOT NULL AND array_to_string(own[1:overlap], ' ') <> array_to_string(before[greatest(len(before) - overlap + 1, 1):len(before)], ' '))
+  OR (NOT last AND NOT regexp_matches(own[len(own)], '[.!?]["''»”’)\\]}]*$')
+      AND len(list_filter(own[greatest(len(own) - 24, 1):len(own)], lambda x: regexp_matches(x, '[.!?]["''»”’)\\]}]*$'))) > 0)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
