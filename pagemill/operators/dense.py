@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import tokens
+from pagemill.session import ship
+
+#: Vectors of the query set that are sent to the tasks at once.
+BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,14 +27,72 @@ def unit(v: Column) -> Column:
     return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
-def cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query, page, chunk, score`` of queries ``(query, vector)`` against chunks ``(page, chunk, vector)``.
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """The query set in blocks of ``BLOCK`` vectors, one at a time on the driver."""
+    ids, vectors = [], []
+    for r in queries.select("query", "vector").toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        if len(ids) == BLOCK:
+            yield ids, np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, np.float64)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best_of_page(scores: np.ndarray, pages: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best chunk of each page for each query, the first of equals."""
+    order = np.lexsort((chunks, pages))
+    s, p = scores[:, order], pages[order]
+    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    best = np.maximum.reduceat(s, starts, axis=1)
+    of = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]).astype(np.int64)]))
+    first = np.minimum.reduceat(np.where(s == best[:, of], np.arange(s.shape[1]), s.shape[1]), starts, axis=1)
+    return np.repeat(np.arange(len(s)), len(starts)), order[first.ravel()]
+
+
+def _best_of_all(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best for each query, with all that equal the last."""
+    if scores.shape[1] <= k:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.nonzero(scores >= least[:, None])
+
+
+def scored(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """``query, page, chunk, score``: cosines of queries ``(query, vector)`` with chunks ``(page, chunk, vector)``.
 
-    The stated query set goes against all chunks; it is sent to the tasks only if the planner finds it small.
+    The query set goes to the tasks in blocks and each Arrow batch of chunks is one matrix product. A batch
+    hands on only what can still win: the ``k`` best of each query, or without ``k`` the best chunk of each
+    page, so the product of both sides is never a table. Rows with a null id or vector are left out.
     """
-    q = queries.select("query", unit(F.col("vector")).alias("qv"))
-    c = chunks.select("page", "chunk", unit(F.col("vector")).alias("cv"))
-    return c.crossJoin(q).select("query", "page", "chunk", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("score"))
+    ship(chunks.sparkSession)
+    sc = chunks.sparkSession.sparkContext
+    own = chunks.filter("page is not null and chunk is not null and vector is not null").select(F.col("page").cast("bigint").alias("page"), F.col("chunk").cast("bigint").alias("chunk"), "vector")
+    out = None
+    for block in _blocks(queries.filter("query is not null and vector is not null")):
+        sent = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            ids, q = np.array(ids, np.int64), _unit_rows(q)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                pages, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                s = np.round(q @ _unit_rows(flat.reshape(batch.num_rows, -1)).T, 9)
+                at, col = _best_of_page(s, pages, numbers) if k is None else _best_of_all(s, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(pages[col]), pa.array(numbers[col]), pa.array(s[at, col])], names=["query", "page", "chunk", "score"])
+
+        part = own.mapInArrow(run, "query bigint, page bigint, chunk bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else chunks.sparkSession.createDataFrame([], "query bigint, page bigint, chunk bigint, score double")
 
 
 def best_chunk(scores: DataFrame) -> DataFrame:
@@ -43,12 +109,11 @@ def top_pages(scores: DataFrame, k: int) -> DataFrame:
 def late_interaction(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """``query, page, score``: for each query vector its best page vector, summed over the query's vectors.
 
-    queries: ``query, part, vector``; pages: ``page, part, vector``.
+    queries: ``query, part, vector`` with parts of their own numbers; pages: ``page, part, vector``.
     """
-    q = queries.select("query", F.col("part").alias("qp"), unit(F.col("vector")).alias("qv"))
-    p = pages.select("page", unit(F.col("vector")).alias("pv"))
-    best = p.crossJoin(q).groupBy("query", "qp", "page").agg(F.max(F.round(dot(F.col("qv"), F.col("pv")), 9)).alias("m"))
-    return best.groupBy("query", "page").agg(F.round(F.sum("m"), 6).alias("score"))
+    best = scored(queries.select(F.col("part").alias("query"), "vector"), pages.withColumnRenamed("part", "chunk"))
+    one = best.groupBy(F.col("query").alias("part"), "page").agg(F.max("score").alias("m"))
+    return one.join(queries.select("query", "part"), "part").groupBy("query", "page").agg(F.round(F.sum("m"), 6).alias("score"))
 
 
 def hashed_counts(text: Column, size: int = 64) -> Column:

@@ -191,10 +191,10 @@ def resume_anti_join(spark, folder):
     return table(spark, folder, "reasoning_inputs").filter("question_id is not null").select("question_id").distinct().join(done, "question_id", "left_anti")
 
 
-@query(f"""WITH {PAGES}, o AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY chunk_index, text) AS t FROM (SELECT DISTINCT doc_id, page, chunk_index, text FROM dense_chunks WHERE page % 2 = 0 AND text IS NOT NULL) GROUP BY ALL)
+@query(f"""WITH {PAGES}, o AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY chunk_index, text) AS t FROM (SELECT DISTINCT doc_id, page, chunk_index, text FROM dense_chunks WHERE lower(extraction_status) <> 'ok' AND text IS NOT NULL) GROUP BY ALL)
 SELECT p.doc_id, p.page, o.t IS NOT NULL AS replaced, md5(coalesce(o.t, p.text)) AS digest FROM pages p LEFT JOIN o USING (doc_id, page)""")
 def corpus_overlay(spark, folder):
-    c = table(spark, folder, "dense_chunks").filter("page % 2 = 0 and text is not null").select("doc_id", "page", "chunk_index", "text").distinct()
+    c = table(spark, folder, "dense_chunks").filter("lower(extraction_status) <> 'ok' and text is not null").select("doc_id", "page", "chunk_index", "text").distinct()
     o = c.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("x")).select("doc_id", "page", F.concat_ws("\n", F.transform("x", lambda x: x["text"])).alias("t"))
     return frames.pages(spark, folder).join(o, ["doc_id", "page"], "left").select("doc_id", "page", F.col("t").isNotNull().alias("replaced"), F.md5(F.coalesce("t", "text")).alias("digest"))
 

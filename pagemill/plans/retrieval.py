@@ -116,21 +116,21 @@ def _vectors(spark, folder):
 
 
 @query(f"""WITH {_COS}, one AS (SELECT query, page, max(score) AS score FROM cos GROUP BY ALL), first AS (SELECT c.query, c.page, min(c.chunk) AS chunk, o.score FROM cos c JOIN one o ON c.query = o.query AND c.page = o.page AND c.score = o.score GROUP BY c.query, c.page, o.score),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS rank FROM first) SELECT query, page, chunk, round(score, 4) AS score, rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS rank FROM first) SELECT query, page::BIGINT AS page, chunk, round(score, 4) AS score, rank FROM r WHERE rank <= 5""")
 def dense_topk(spark, folder):
-    return _six(dense.top_pages(dense.best_chunk(dense.cosine(*_vectors(spark, folder))), 5))
+    return _six(dense.top_pages(dense.best_chunk(dense.scored(*_vectors(spark, folder))), 5))
 
 
 @query(f"""WITH {_COS} SELECT query, chunk, score FROM (SELECT query, chunk, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS r FROM cos) WHERE r <= 10""")
 def vector_search(spark, folder):
-    s = dense.cosine(*_vectors(spark, folder))
+    s = dense.scored(*_vectors(spark, folder), k=10)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "chunk")
     return _six(s.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("query", "chunk", "score"))
 
 
 @query(f"""WITH {_COS}, q AS (SELECT label AS query, vec_id AS part FROM embeddings WHERE vec_id % 100 = 0),
 best AS (SELECT q.query, q.part, c.page, max(c.score) AS m FROM cos c JOIN q ON c.query = q.part GROUP BY ALL)
-SELECT query, page, round(sum(m), 6) AS score FROM best GROUP BY query, page""")
+SELECT query, page::BIGINT AS page, round(sum(m), 6) AS score FROM best GROUP BY query, page""")
 def late_interaction(spark, folder):
     v = table(spark, folder, "embeddings").filter("vec_id is not null and embedding is not null")
     q = v.filter("vec_id % 100 = 0").select(F.col("label").alias("query"), F.col("vec_id").alias("part"), F.col("embedding").alias("vector"))
