@@ -42,6 +42,8 @@ NAMES = {
 NO_LABEL = ("", "-", "?", "??", "und", "unk", "unknown", "none", "null", "n/a", "na", "xx", "zxx", "mul", "mis")
 SAMPLE, SAMPLE_CHARS = 1200, 3000
 BUCKETS, DIM, REJECT = 1 << 15, 12, 0.6
+#: Characters of the longest heading.
+HEADING = 60
 #: Cost of a change of language between sentences, and the most that one sentence speaks against a language (in nats).
 CHANGE, DOUBT = 4.0, 6.0
 _END = re.compile(r"(?<=[.!?])[\"'»”’)\]]*\s+|\n[ \t]*\n\s*")
@@ -65,6 +67,11 @@ def units(text: str, is_list: bool) -> list[str]:
     return [p for p in parts if p and not p.isspace()]
 
 
+def _is_sentence(unit: str) -> bool:
+    """Whether a piece of prose is a sentence and no heading: it is closed, or too long for a heading."""
+    return unit.rstrip("\"'»”’)] \n\t")[-1:] in (".", "!", "?") or len(unit) > HEADING
+
+
 def _buckets(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character runs of the words ``which``: flat, with the word (index into which) of each."""
     size = np.minimum(w.end[which] - w.start[which], 24)
@@ -260,7 +267,7 @@ def detect(docs: DataFrame, model: Model, kind: str = "kind") -> DataFrame:
                 total, count, _ = m.scores([u for x in own for u in x])
                 p = m.sure(total, count)
                 at = 0
-                for x in own:
+                for x, kd in zip(own, kinds[lo:hi]):
                     t, c, q = total[at : at + len(x)], count[at : at + len(x)], p[at : at + len(x)]
                     at += len(x)
                     if not c.sum():
@@ -269,7 +276,8 @@ def detect(docs: DataFrame, model: Model, kind: str = "kind") -> DataFrame:
                         parts.append([])
                         continue
                     whole = m.sure(t.sum(axis=0, keepdims=True), np.array([c.sum()]))[0]
-                    runs = _stretches(np.where(c[:, None] > 0, q, 0))
+                    counts = (c > 0) & np.array([kd == "list" or _is_sentence(u) for u in x])
+                    runs = _stretches(np.where(counts[:, None], q, 0))
                     runs = [r for r in runs if r["n"] >= 2] or [{"lang": LANGS[int(whole.argmax())], "confidence": float(whole.max()), "first": 0, "last": len(x) - 1}]
                     langs.append(LANGS[int(whole.argmax())])
                     sures.append(float(whole.max()))
