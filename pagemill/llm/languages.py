@@ -276,8 +276,10 @@ def detect(docs: DataFrame, model: Model, kind: str = "kind") -> DataFrame:
                         parts.append([])
                         continue
                     whole = m.sure(t.sum(axis=0, keepdims=True), np.array([c.sum()]))[0]
-                    counts = (c > 0) & np.array([kd == "list" or _is_sentence(u) for u in x])
-                    runs = _stretches(np.where(counts[:, None], q, 0))
+                    q = np.where(c[:, None] > 0, q, 0)
+                    if kd != "list" and len(set(q.argmax(axis=1)[q.max(axis=1) >= REJECT].tolist())) > 1:
+                        q = np.where(np.array([_is_sentence(u) for u in x])[:, None], q, 0)  # headings end no language
+                    runs = _stretches(q)
                     runs = [r for r in runs if r["n"] >= 2] or [{"lang": LANGS[int(whole.argmax())], "confidence": float(whole.max()), "first": 0, "last": len(x) - 1}]
                     langs.append(LANGS[int(whole.argmax())])
                     sures.append(float(whole.max()))
