@@ -7,17 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting that lets shuffle files go when their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a temporary folder is set once and used.
+    Only where a session on one machine names none (tests) a temporary folder is set once and used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -27,8 +32,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the plan starts at the files.
 
     Survives the loss of executors. Statistics of the files let the planner choose the join by real size.
+    Shuffle files of the query are removed with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later query reads."""
+    for df in tables:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
