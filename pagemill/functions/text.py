@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 #: Most visible characters of a page without, and of one with little, text layer.
 MISSING_MOST, LOW_MOST = 19, 99
+#: A word: letters and digits.
+WORD = r"[\p{L}\p{N}]+"
 #: A number: grouped figures with an optional decimal part.
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 
@@ -29,7 +31,7 @@ def lowered(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits in lower case, in order, with repeats."""
-    return F.regexp_extract_all(lowered(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(lowered(c), F.lit(WORD), F.lit(0))
 
 
 def text_layer(n: Column) -> Column:

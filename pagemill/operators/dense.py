@@ -45,15 +45,16 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best_of_page(scores: np.ndarray, pages: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the best chunk of each page for each query, the first of equals."""
+def _best_of_page(scores: np.ndarray, pages: np.ndarray, chunks: np.ndarray, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best chunk of each page for each query, the first of equals; of the ``top`` pages only."""
     order = np.lexsort((chunks, pages))
     s, p = scores[:, order], pages[order]
     starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     best = np.maximum.reduceat(s, starts, axis=1)
     of = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]).astype(np.int64)]))
     first = np.minimum.reduceat(np.where(s == best[:, of], np.arange(s.shape[1]), s.shape[1]), starts, axis=1)
-    return np.repeat(np.arange(len(s)), len(starts)), order[first.ravel()]
+    row, page = np.indices(best.shape).reshape(2, -1) if top is None else _best_of_all(best, top)
+    return row, order[first[row, page]]
 
 
 def _best_of_all(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +65,14 @@ def _best_of_all(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(scores >= least[:, None])
 
 
-def scored(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+def scored(queries: DataFrame, chunks: DataFrame, k: int | None = None, top: int | None = None) -> DataFrame:
     """``query, page, chunk, score``: cosines of queries ``(query, vector)`` with chunks ``(page, chunk, vector)``.
 
     The query set goes to the tasks in blocks and each Arrow batch of chunks is one matrix product. A batch
-    hands on only what can still win: the ``k`` best of each query, or without ``k`` the best chunk of each
-    page, so the product of both sides is never a table. Rows with a null id or vector are left out.
+    hands on only what can still win: the ``k`` best chunks of each query, or the best chunk of each of the ``top``
+    best pages (a page among these is so in the batch of its best chunk), so the product of both sides is never a
+    table. Without both, the best chunk of every page is kept, for sums over pages. Rows with a null id or vector
+    are left out.
     """
     ship(chunks.sparkSession)
     sc = chunks.sparkSession.sparkContext
@@ -87,7 +90,7 @@ def scored(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataF
                 pages, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 s = np.round(q @ _unit_rows(flat.reshape(batch.num_rows, -1)).T, 9)
-                at, col = _best_of_page(s, pages, numbers) if k is None else _best_of_all(s, k)
+                at, col = _best_of_page(s, pages, numbers, top) if k is None else _best_of_all(s, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(pages[col]), pa.array(numbers[col]), pa.array(s[at, col])], names=["query", "page", "chunk", "score"])
 
         part = own.mapInArrow(run, "query bigint, page bigint, chunk bigint, score double")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import tokens
+from pagemill.functions.text import WORD, lowered, tokens
 
 K1, B = 1.2, 0.75
 
@@ -22,7 +22,7 @@ def postings(pages: DataFrame) -> DataFrame:
 
 
 def page_lengths(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "page", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).cast("bigint").alias("dl"))
+    return pages.select("doc_id", "page", F.coalesce(F.regexp_count(lowered(F.col("text")), F.lit(WORD)), F.lit(0)).cast("bigint").alias("dl"))
 
 
 def document_stats(lengths: DataFrame) -> DataFrame:
@@ -42,20 +42,31 @@ def query_terms(questions: DataFrame, once: bool = False) -> DataFrame:
     return questions.select("question_id", "doc_id", F.explode(words).alias("term")).groupBy("question_id", "doc_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(questions: DataFrame, pages: DataFrame, once: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """``question_id, doc_id, page, score`` of every page of a question's document.
+def asked_postings(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, page, term, tf`` of the words that a question of the document asks for; the others are left out before they are counted."""
+    words = pages.select("doc_id", "page", F.explode(tokens(F.col("text"))).alias("term"))
+    return words.join(terms.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi").groupBy("doc_id", "page", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(questions: DataFrame, pages: DataFrame, once: bool = False, k1: float = K1, b: float = B, pool: DataFrame | None = None) -> DataFrame:
+    """``question_id, doc_id, page, score`` of every page of a question's document, or of those in ``pool`` only.
 
-    questions: ``question_id, doc_id, question``; pages: ``doc_id, page, text``, one row each. Questions of
-    unknown documents give no row; null texts count as empty.
+    questions: ``question_id, doc_id, question``; pages: ``doc_id, page, text``, one row each; pool: ``question_id,
+    doc_id, page``. Statistics are those of the whole document either way. Questions of unknown documents give no
+    row; null texts count as empty.
     """
-    post, lengths = postings(pages), page_lengths(pages)
-    stats = document_stats(lengths)
+    terms, lengths = query_terms(questions, once), page_lengths(pages)
+    post, stats = asked_postings(pages, terms), document_stats(lengths)
     df = post.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    weighed = query_terms(questions, once).join(df, ["doc_id", "term"]).join(stats, "doc_id").select("question_id", "doc_id", "term", "avgdl", (F.col("qtf") * idf(F.col("pages"), F.col("df"))).alias("w"))
-    hits = weighed.join(post, ["doc_id", "term"]).join(lengths, ["doc_id", "page"])
+    weighed = terms.join(df, ["doc_id", "term"]).join(stats, "doc_id").select("question_id", "doc_id", "term", "avgdl", (F.col("qtf") * idf(F.col("pages"), F.col("df"))).alias("w"))
+    every = questions.select("question_id", "doc_id").join(pages.select("doc_id", "page"), "doc_id")
+    if pool is not None:
+        pool = pool.select("question_id", "doc_id", "page").distinct()
+        every = every.join(pool, ["question_id", "doc_id", "page"], "left_semi")
+        post = post.join(pool, ["doc_id", "page"], "left_semi")
+    hits = weighed.join(post.join(lengths, ["doc_id", "page"]), ["doc_id", "term"])
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("question_id", "page").agg(F.sum(part).alias("s"))
-    every = questions.select("question_id", "doc_id").join(pages.select("doc_id", "page"), "doc_id")
     return every.join(scored, ["question_id", "page"], "left").select("question_id", "doc_id", "page", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
 
 
@@ -71,10 +82,10 @@ def snippets(hits: DataFrame, pages: DataFrame, questions: DataFrame, width: int
 
     Windows of ``width`` characters start every ``step``; the earliest wins a tie.
     """
-    lengths = page_lengths(pages)
-    stats = document_stats(lengths).select("doc_id", "pages")
-    df = postings(pages).groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    terms = query_terms(questions, True).join(df, ["doc_id", "term"]).join(stats, "doc_id").select("question_id", "term", idf(F.col("pages"), F.col("df")).alias("w"))
+    stats = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    own = query_terms(questions, True)
+    df = asked_postings(pages, own).groupBy("doc_id", "term").agg(F.count("*").alias("df"))
+    terms = own.join(df, ["doc_id", "term"]).join(stats, "doc_id").select("question_id", "term", idf(F.col("pages"), F.col("df")).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
     parts = hits.select("question_id", "doc_id", "page").join(pages, ["doc_id", "page"]).select("question_id", "page", "text", F.explode(starts).alias("start"))
     cut = F.substring(F.col("text"), F.col("start") + 1, F.lit(width))

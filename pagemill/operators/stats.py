@@ -5,27 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.storage import stored
+
+
+def ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``part``: consecutive ranges of an order, so running totals need no task that holds all rows.
+
+    Stored, as the ranges must stay the same in every use.
+    """
+    return stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def totals_before(parts: DataFrame, **sums: Column) -> DataFrame:
+    """``part`` and for each sum its total over the ranges before; one row for each range."""
+    each = parts.groupBy("part").agg(*[c.alias(n) for n, c in sums.items()])
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("part", *[F.coalesce(F.sum(n).over(over), F.lit(0)).alias(n) for n in sums])
+
 
 def risk_coverage(rows: DataFrame) -> DataFrame:
     """Prefix risks by confidence, then id: ``question_id, answered, errors, coverage, risk``.
 
-    A running total over all rows needs one order; it is taken over hash-free ranges by the engine's sort, in
-    two steps: totals of each confidence first, then the few ties within one.
+    Running totals within ranges of the order, with the totals of the ranges before; equal confidences may be any share.
     """
-    groups = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    total = groups.agg(F.sum("n").alias("total"))
-    over = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
-    before = groups.select("confidence", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(over), F.lit(0)).alias("e0"))
-    tie = Window.partitionBy("confidence").orderBy("question_id").rowsBetween(Window.unboundedPreceding, 0)
-    at = rows.join(before, "confidence").select("question_id", "confidence", (F.count("*").over(tie) + F.col("n0")).alias("answered"), (F.sum(1 - F.col("correct")).over(tie) + F.col("e0")).alias("errors"))
+    wrong = 1 - F.col("correct")
+    parts = ranged(rows, F.desc("confidence"), F.col("question_id"))
+    before = totals_before(parts, n0=F.count("*"), e0=F.sum(wrong))
+    run = Window.partitionBy("part").orderBy(F.desc("confidence"), "question_id").rowsBetween(Window.unboundedPreceding, 0)
+    at = parts.select("question_id", "confidence", "part", F.count("*").over(run).alias("n"), F.sum(wrong).over(run).alias("e")).join(before, "part")
+    at = at.select("question_id", "confidence", (F.col("n") + F.col("n0")).alias("answered"), (F.col("e") + F.col("e0")).alias("errors"))
+    total = parts.agg(F.count("*").alias("total"))
     return at.crossJoin(total).select("question_id", "confidence", "answered", "errors", F.round(F.col("answered") / F.col("total"), 6).alias("coverage"), F.round(F.col("errors") / F.col("answered"), 6).alias("risk"))
 
 
+def area_under_risk(rows: DataFrame) -> DataFrame:
+    """``answered, aurc``: the mean of the prefix risks, one row; null for no rows."""
+    curve = risk_coverage(rows)
+    return curve.agg(F.count("*").alias("answered"), F.round(F.avg(F.col("errors") / F.col("answered")), 6).alias("aurc"))
+
+
 def operating_points(rows: DataFrame, targets: list[float]) -> DataFrame:
     """The last confidence whose whole tie group keeps coverage within each target."""
-    groups = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    w = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    run = groups.select("confidence", F.sum("n").over(w).alias("answered"), F.sum("e").over(w).alias("errors")).crossJoin(groups.agg(F.sum("n").alias("total")))
+    groups = ranged(rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e")), F.desc("confidence"))
+    before = totals_before(groups, n0=F.sum("n"), e0=F.sum("e"))
+    w = Window.partitionBy("part").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    run = groups.select("confidence", "part", F.sum("n").over(w).alias("n"), F.sum("e").over(w).alias("e")).join(before, "part")
+    run = run.select("confidence", (F.col("n") + F.col("n0")).alias("answered"), (F.col("e") + F.col("e0")).alias("errors")).crossJoin(groups.agg(F.sum("n").alias("total")))
     goal = run.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
     ok = goal.filter(F.col("answered") / F.col("total") <= F.col("target"))
     last = ok.groupBy("target").agg(F.max_by(F.struct("confidence", "answered", "errors"), "answered").alias("p"))
@@ -44,12 +69,13 @@ def cluster_bootstrap(rows: DataFrame, replicates: int, seed: str = "s", name: s
     Rows are summed to clusters first, so a replicate draws from one row per cluster. A replicate whose
     denominator is 0 is left out.
     """
-    per = rows.groupBy("doc_id").agg(F.sum(name).alias("s"), F.count(name).alias("c"))
-    number = F.row_number().over(Window.orderBy("doc_id")) - 1
-    per = per.withColumn("i", number.cast("bigint"))
-    size = per.agg(F.count("*").alias("n"))
-    draws = size.select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("place"))
-    draws = draws.select("rep", draw(seed, F.col("rep"), F.col("place"), F.col("n")).alias("i"))
+    per = ranged(rows.groupBy("doc_id").agg(F.sum(name).alias("s"), F.count(name).alias("c")), F.col("doc_id"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1 + F.col("before")
+    per = per.join(totals_before(per, before=F.count("*")), "part").select("doc_id", "s", "c", number.cast("bigint").alias("i"))
+    n = per.count()
+    # every draw is a row of its own range of numbers, so no task makes all of them
+    draws = rows.sparkSession.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").cast("int").alias("rep"), (F.col("id") % max(n, 1)).alias("place"))
+    draws = draws.select("rep", draw(seed, F.col("rep"), F.col("place"), F.lit(n).cast("bigint")).alias("i"))
     reps = draws.join(per, "i").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m")).filter("m is not null")
     point = per.agg(F.round(F.try_divide(F.sum("s"), F.sum("c")), 6).alias("point"))
     q = reps.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.count("*").alias("replicates"))

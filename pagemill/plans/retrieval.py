@@ -118,7 +118,7 @@ def _vectors(spark, folder):
 @query(f"""WITH {_COS}, one AS (SELECT query, page, max(score) AS score FROM cos GROUP BY ALL), first AS (SELECT c.query, c.page, min(c.chunk) AS chunk, o.score FROM cos c JOIN one o ON c.query = o.query AND c.page = o.page AND c.score = o.score GROUP BY c.query, c.page, o.score),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS rank FROM first) SELECT query, page::BIGINT AS page, chunk, round(score, 4) AS score, rank FROM r WHERE rank <= 5""")
 def dense_topk(spark, folder):
-    return _six(dense.top_pages(dense.best_chunk(dense.scored(*_vectors(spark, folder))), 5))
+    return _six(dense.top_pages(dense.best_chunk(dense.scored(*_vectors(spark, folder), top=5)), 5))
 
 
 @query(f"""WITH {_COS} SELECT query, chunk, score FROM (SELECT query, chunk, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS r FROM cos) WHERE r <= 10""")
@@ -152,9 +152,8 @@ def rrf_fusion(spark, folder):
 @query(f"""WITH {STORED}, {PAGES}, {QUESTIONS}, {BM25}, {scores(False)}, pool AS (SELECT s.question_id, s.doc_id, s.page, s.score FROM scored s JOIN stored p ON p.question_id = s.question_id AND p.doc_id = s.doc_id AND p.page = s.page WHERE p.rank <= 10)
 SELECT question_id, doc_id, page, round(score, 4) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, page) AS rank FROM pool""")
 def candidate_rerank(spark, folder):
-    s = lexical.bm25(frames.questions(spark, folder), frames.pages(spark, folder))
-    pool = frames.stored_run(spark, folder).filter("rank <= 10").select("question_id", "doc_id", "page")
-    return _six(lexical.ranked(s.join(pool, ["question_id", "doc_id", "page"], "left_semi")))
+    pool = frames.stored_run(spark, folder).filter("rank <= 10")
+    return _six(lexical.ranked(lexical.bm25(frames.questions(spark, folder), frames.pages(spark, folder), pool=pool)))
 
 
 _DEPTHS = f"""{STORED}, {GOLD}, size AS (SELECT question_id, count(*) AS gold FROM gold GROUP BY question_id), ks AS (SELECT unnest([1, 3, 5, 10])::BIGINT AS k),
