@@ -6,7 +6,7 @@ through the bits gives how many of each length. The same filling is taken as oft
 
 Items are dealt into groups of about ``GROUP`` by a hash of their key, so no group grows with the input.
 Containers of a group that are filled less than ``FULL`` are taken apart and packed again with those of the
-other groups, in ever fewer groups, until one is left.
+other groups, in ever fewer groups, until one is left or a turn fills no further container.
 
 Defined results: rows with a null key are ignored; rows delivered twice count once; null and empty texts
 have no tokens and are packed nowhere; an item longer than a container is cut into full containers and a
@@ -123,7 +123,7 @@ def packed(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
     schema = f"doc_id {key}, piece int, first_token bigint, tokens bigint, container string, full boolean"
     while True:
         n = left.count()
-        last = n <= GROUP or (before is not None and n > 0.7 * before)
+        last = n <= GROUP or n == before
         groups = 1 if n <= GROUP else -(-n // GROUP)
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +138,8 @@ def packed(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
             return pdf.drop(columns="g").assign(container=name, full=full)
 
         dealt = left.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups))).withColumn("turn", F.lit(turn))
-        out = stored(dealt.groupBy("g").applyInPandas(run, schema), "pack-turn")
+        # groups are small in bytes; their number is given so that they are not merged into few tasks
+        out = stored(dealt.repartition(int(min(groups, 4096)), "g").groupBy("g").applyInPandas(run, schema), "pack-turn")
         if last:
             done.append(out.drop("full"))
             break
