@@ -28,11 +28,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter("doc_id is not null")
-    texts = docs.select(F.lit("document").alias("unit"), F.col("doc_id").cast("string").alias("item_key"), F.col("low_text_pages").alias("stored"), "text")
-    pages = _unique_pages(spark, folder).select(F.lit("page").alias("unit"), _page_key().alias("item_key"), F.col("non_whitespace_chars").alias("stored"), "text")
-    out = text_stats.with_stats(texts.unionByName(pages)).drop("text")
-    wrong = (F.col("unit") == "page") & ~F.col("stored").eqNullSafe(F.col("visible"))
-    return out.withColumn("stored_count_wrong", wrong).drop("stored")
+    low = F.col("low_text_pages") / F.col("page_count")
+    share = F.when((F.col("page_count") > 0) & low.between(0, 1), F.round(low, 6))
+    docs = docs.select(F.lit("document").alias("unit"), F.col("doc_id").cast("string").alias("item_key"), F.lit(None).cast("bigint").alias("stored"), share.alias("low_text_share"), (F.col("low_text_pages").isNotNull() & share.isNull()).alias("odd"), "text")
+    pages = _unique_pages(spark, folder).select(F.lit("page").alias("unit"), _page_key().alias("item_key"), F.col("non_whitespace_chars").cast("bigint").alias("stored"), F.lit(None).cast("double").alias("low_text_share"), F.lit(False).alias("odd"), "text")
+    # rows delivered twice count once; of several texts of one key the first in string order
+    own = F.min(F.struct("text", "stored", "low_text_share", "odd")).alias("x")
+    one = docs.unionByName(pages).groupBy("unit", "item_key").agg(own).select("unit", "item_key", "x.text", "x.stored", "x.low_text_share", "x.odd")
+    out = text_stats.with_stats(one).drop("text")
+    wrong = F.when(F.col("unit") == "page", ~F.col("stored").eqNullSafe(F.col("visible"))).otherwise(F.col("odd"))
+    return out.withColumn("stored_count_wrong", wrong).drop("stored", "odd")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
