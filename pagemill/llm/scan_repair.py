@@ -4,12 +4,13 @@ One reading of the pages gives the lines at their edges, the words broken at lin
 corpus with their counts. From these tables, all of them joins and grouped counts:
 
 - Headers and footers are edge lines that recur on the pages of their file in a form that is blind to
-  figures and to misread characters, or that recur once there but are headers of other files.
+  figures and to misread characters, lines that differ from these in a few characters (edit distance), and lines
+  that stand once in their file but are headers of other files.
 - Page numbers are edge lines that are only a number and keep their distance from the page's place in the
   file; written as such (``p. 3``, ``[3]``, ``3 / 9``) they need no second witness.
 - A word broken at a hyphen is joined if the corpus knows the joined word at least as well as the compound.
 - A word is misread if undoing one or two confusions of characters gives a word that the corpus knows much
-  better; names must be known in the same file.
+  better, counted over different texts, so copies of a page count once; names must be known in the same file.
 
 A second reading finds the lines with misread words: a filter of ``SLOTS`` hashed places (fixed size) goes to
 the tasks, what passes it is joined exactly with the misread words.
@@ -38,13 +39,22 @@ from pagemill.session import ship
 MISREAD = (("0", "o"), ("1", "l"), ("5", "s"), ("6", "b"), ("9", "g"), ("!", "i"), ("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("m", "in"), ("c", "e"), ("f", "t"))
 #: A correct word must be this many times as frequent as its misread form.
 TIMES = 10
-EDGE, SLOTS = 2, 1 << 22
-#: Least share of a file's pages on which a running line recurs.
-RUNNING = 0.12
+#: Lines looked at from each end of a page (empty ones left out), hashed places of the filter of misread words.
+EDGE, SLOTS = 3, 1 << 22
+#: Characters of the longest running line, of the longest line that is only a page number, and of the longest word.
+HEADER, FIGURE, LONGEST = 200, 40, 200
+#: A running line recurs on this share of a file's pages, or on ``NEIGHBOURS`` pages that fill a quarter of their span.
+RUNNING, NEIGHBOURS = 0.12, 4
+#: Share of characters in which a line may differ from a running line of its file.
+FUZZY = 0.15
+#: Bits of the map of texts that a word is in; more than ``FULL`` texts are taken for any number.
+PLACES, FULL = 63, 80
 #: Entries after which a task hands its counts on; bounds its memory.
 FLUSH = 300_000
 HYPHENS = "-¬­‐"
 _TOKEN = re.compile(r"!?[^\W_]+(?:[-!][^\W_]+)*")
+_STOPPED = re.compile(r"[^\W\d_].{5,60}[^.\s]\.")
+_WORDS = re.compile(r"!?\w+(?:[-!]\w+)*")
 #: A mark at a line's end with the start of the next line, and the word that ends before it.
 _BREAK = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W_]|!)")
 _BEFORE = re.compile(r"[^\W_]+(?:[-!][^\W_]+)*$")
@@ -55,8 +65,15 @@ _DIGITS = str.maketrans("lIOoSsbgZB", "1100556928")
 _SHAPE = str.maketrans("0159!6cfIOS", "olsgibetlos")
 
 
+def _tokens(text: str) -> list[str]:
+    """All matches of ``_TOKEN``, by a pattern that is faster and takes underscores for letters."""
+    return _WORDS.findall(text.replace("_", " ") if "_" in text else text)
+
+
 def line_key(line: str) -> str:
     """A form of a line that is blind to figures, spacing, case and misread characters; empty for lines that cannot be running."""
+    if line[-1:] == "." and line[:1].isupper() and _STOPPED.fullmatch(line):
+        line = line[:-1]
     if line[-1:] in ".,;:" or line[:1].islower() or _SECTION.match(line) or "\t" in line or ";" in line or line.count("|") > 1:
         return ""
     words = line.split()
@@ -101,7 +118,7 @@ def page_number(line: str) -> tuple[int, bool] | None:
     return value, bool(word or left or total)
 
 
-_READ = "kind string, doc_id string, page int, line_no int, a string, b string, n bigint"
+_READ = "kind string, doc_id string, page int, line_no int, a string, b string, n bigint, texts bigint"
 
 
 class _Out:
@@ -110,19 +127,24 @@ class _Out:
     def __init__(self):
         self.rows: list[tuple] = []
         self.words: Counter = Counter()
+        self.texts: dict[str, int] = {}
+        self.forms: set[str] = set()
         self.names: Counter = Counter()
 
     def flush(self, all_: bool = False) -> Iterator[pa.RecordBatch]:
         if all_ or len(self.words) > FLUSH:
-            self.rows += [("word", None, None, None, w, None, n) for w, n in self.words.items() if n]
+            texts = self.texts.get
+            self.rows += [("word", None, None, None, w, None, n, texts(w, 0)) for w, n in self.words.items() if n or w in self.forms]
             self.words.clear()
+            self.forms.clear()
+            self.texts.clear()
         if all_ or len(self.names) > FLUSH:
-            self.rows += [("name", d, None, None, w, None, n) for (d, w), n in self.names.items()]
+            self.rows += [("name", d, None, None, w, None, n, None) for (d, w), n in self.names.items()]
             self.names.clear()
         if self.rows:
             cols = list(zip(*self.rows))
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "doc_id", "page", "line_no", "a", "b", "n"])
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "doc_id", "page", "line_no", "a", "b", "n", "texts"])
             self.rows = []
 
 
@@ -130,7 +152,7 @@ def broken_at(text: str) -> list[tuple[int, str, str, str]]:
     """Broken words ``(line from 0, first part, mark, second part)``."""
     out, line, at = [], 0, 0
     for m in _BREAK.finditer(text):
-        first, second = _BEFORE.search(text[max(0, m.start() - 60) : m.start()]), _TOKEN.match(text, m.end())
+        first, second = _BEFORE.search(text[max(0, m.start() - LONGEST) : m.start()]), _TOKEN.match(text, m.end())
         if not first or not second:
             continue
         a, b = first.group(), second.group()
@@ -153,22 +175,28 @@ def _first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             full = [k for k, x in enumerate(lines) if x and not x.isspace()]
             for at, k in [*enumerate(full[:EDGE], 1), *((-j, k) for j, k in enumerate(reversed(full[-EDGE:]), 1))]:
                 line = lines[k].strip()
-                num = page_number(line) if len(line) <= 24 else None
+                num = page_number(line) if len(line) <= FIGURE else None
                 if num:
-                    out.rows.append(("number", d, p, k + 1, "written" if num[1] else "bare", str(at), num[0]))
-                elif len(line) <= 120 and not (at > 0 and k + 1 < len(lines) and _goes_on(lines[k + 1])) and (key := line_key(line)):
-                    out.rows.append(("edge", d, p, k + 1, key, line, at))
-            words, names, tokens = out.words, out.names, _TOKEN.findall(t)
+                    out.rows.append(("number", d, p, k + 1, "written" if num[1] else "bare", str(at), num[0], None))
+                elif len(line) <= HEADER and not (at > 0 and k + 1 < len(lines) and _goes_on(lines[k + 1])) and (key := line_key(line)):
+                    out.rows.append(("edge", d, p, k + 1, key, line, at, None))
+            words, names, tokens = out.words, out.names, _tokens(t)
             words.update(tokens)
+            place, texts = 1 << crc32(t.encode("utf-8", "surrogatepass")) % PLACES, out.texts
             for w in set(tokens):
+                texts[w] = texts.get(w, 0) | place
                 if w[0].isupper() and len(w) >= 5 and w[1:].islower():
                     names[d, w] += 1
             for k, a, mark, b in broken_at(t):
-                out.rows.append(("break", d, p, k + 1, a, b, 1 if mark == "-" or mark == "‐" else 0))
+                out.rows.append(("break", d, p, k + 1, a, b, 1 if mark == "-" or mark == "‐" else 0, None))
                 words[a] -= 1  # parts are no words
                 words[b] -= 1
-                if mark not in "-‐":
+                if mark in "-‐":
+                    words[a + b] += 0  # not counted, but looked at
+                    out.forms.add(a + b)
+                else:
                     words[a + b] += 1
+                    texts[a + b] = texts.get(a + b, 0) | place
         yield from out.flush()
     yield from out.flush(True)
 
@@ -204,13 +232,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def misread_words(read: DataFrame) -> DataFrame:
     """``word, doc_id, right``: misread words and what they were; doc_id is null where it holds in all files."""
-    words = stored(read.filter("kind = 'word'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "scan-words")
-    known = words.groupBy(F.lower("word").alias("low")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("plain"), F.sum("n").alias("all"))
+    words = read.filter("kind = 'word'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), F.bit_or("texts").alias("texts"))
+    # copies of a text count once: the number of texts, from the share of places that are free, bounds the count
+    texts = F.ceil(-PLACES * F.log(1 - F.least(F.bit_count("texts"), F.lit(PLACES - 1)) / PLACES))
+    words = stored(words.select("word", F.when(texts <= FULL, F.least("n", texts.cast("bigint"))).otherwise(F.col("n")).alias("n")), "scan-words")
+    known = words.groupBy(F.lower("word").alias("low")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("plain"), F.sum("n").alias("all")).filter("all > 0")
     known = stored(known, "scan-known")
     letters = F.col("word").rlike(r"\p{L}.*\p{L}") & (F.length("word") >= 3) & ~F.col("word").rlike(r"\d{2}")
     cand = words.filter(letters).mapInArrow(_candidates, "word string, n bigint, right string")
     own = known.select(F.col("low").alias("word_low"), F.col("all").alias("own"))
-    cand = cand.join(known.withColumnRenamed("low", "right_low"), F.lower("right") == F.col("right_low")).join(own, F.lower("word") == F.col("word_low"))
+    cand = cand.join(known.withColumnRenamed("low", "right_low"), F.lower("right") == F.col("right_low")).join(own, F.lower("word") == F.col("word_low"), "left").withColumn("own", F.coalesce("own", F.lit(1)))
     cand = stored(cand.select("word", "right", "plain", "all", "own"), "scan-candidates")
     figure = F.col("word").rlike(r"[0-9!]")
     least = F.when(F.length("right") >= 4, TIMES).otherwise(100 * TIMES)  # short words differ by one character often
@@ -228,12 +259,17 @@ def running_lines(read: DataFrame) -> DataFrame:
     """``doc_id, page, line_no``: running headers and footers."""
     edge = stored(read.filter("kind = 'edge'").select("doc_id", "page", "line_no", F.col("a").alias("key"), F.col("n").alias("at")), "scan-edges")
     pages = edge.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    often = edge.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n")).join(pages, "doc_id")
-    own = often.filter((F.col("n") >= 2) & (F.col("n") >= RUNNING * F.col("pages")))
-    own = stored(own.select("doc_id", "key"), "scan-running")
+    often = edge.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"), (F.max("page") - F.min("page") + 1).alias("span")).join(pages, "doc_id")
+    near = (F.col("n") >= NEIGHBOURS) & (F.col("span") <= 4 * F.col("n"))
+    own = stored(often.filter((F.col("n") >= 2) & ((F.col("n") >= RUNNING * F.col("pages")) | near)).select("doc_id", "key"), "scan-running")
+    # lines that differ from a running line of their file in a few characters
+    others = often.select("doc_id", "key").join(own, ["doc_id", "key"], "left_anti")
+    most = F.floor(FUZZY * F.length("key")).cast("int")
+    alike = (F.abs(F.length("key") - F.length("like")) <= most) & (F.levenshtein("key", "like") <= most)
+    own = stored(own.unionByName(others.join(own.withColumnRenamed("key", "like"), "doc_id").filter(alike).select("doc_id", "key").distinct()), "scan-headers")
     wide = own.groupBy("key").agg(F.count("*").alias("files")).filter("files >= 3").select("key")
     # a line that runs through other files counts where it stands alone, at the very edge
-    lone = edge.filter(F.col("at").isin(1, -1, 2, -2)).join(wide, "key", "left_semi")
+    lone = edge.filter(F.abs("at") <= 2).join(wide, "key", "left_semi")
     return edge.join(own, ["doc_id", "key"], "left_semi").unionByName(lone).select("doc_id", "page", "line_no").distinct()
 
 
@@ -281,7 +317,7 @@ def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
                 if not t:
                     continue
                 hits = []
-                for w in set(_TOKEN.findall(t)):
+                for w in set(_tokens(t)):
                     hit = seen.get(w)
                     if hit is None:
                         hit = seen[w] = on[crc32(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]
@@ -294,7 +330,7 @@ def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
                 if hits:
                     for k, line in enumerate(t.split("\n")):
                         for w in hits:
-                            if w in line and (k, w) not in inner and w in _TOKEN.findall(line):
+                            if w in line and (k, w) not in inner and w in _tokens(line):
                                 rows.append((d, p, k + 1, w, 0))
                 for k, a, _, b in parts:
                     if on[crc32((a + b).encode("utf-8", "surrogatepass")) & (SLOTS - 1)]:

@@ -37,7 +37,7 @@ def book(damage=True):
 
 
 def test_damage_of_each_kind(spark):
-    filler = [("e", k, f"{BODY} {BODY}") for k in range(1, 16)]
+    filler = [("e", k, f"{BODY} {BODY} Copy of the year{chr(97 + k)}.") for k in range(1, 16)]
     df = spark.createDataFrame(book() + book()[:2] + filler + [("x", 1, None), ("x", 2, ""), (None, 1, "a"), ("x", None, "a")], "doc_id string, page int, text string").selectExpr("*", "1 as line_no", "2 as n")
     got = rows(damaged_lines(df), "page", "line_no", "damage", "doc_id")
     assert {g[3] for g in got} == {"d"}
@@ -49,6 +49,39 @@ def test_damage_of_each_kind(spark):
     assert "provisions" in text and "winter." in text and "high-volume" in text and "Harbour report" not in text and "\n\n7" not in text
 
 
+def _header_pages(lines, pages=10):
+    """Pages of one file whose running line, given per page, is the third line."""
+    return [("h", k, f"Section {k} of the{'abcdefghij'[k]} year\nUnder review{k}x\n{lines[k % len(lines)]}\n{BODY}\n{BODY}") for k in range(pages)]
+
+
+def test_headers_on_the_third_line_and_damaged_ones(spark):
+    good = "Harbour Authority Annual Report"
+    lines = [good, good, good, "Harbour Authorty Annual Report", "Harbour Authoiity Annual Report", "Harbour AuthorityAnnual Report", "Harbour Authority Annual Report."]
+    df = spark.createDataFrame(_header_pages(lines, 14 // 2 + 3), "doc_id string, page int, text string")
+    got = rows(damaged_lines(df).filter("damage = 'header' and line_no = 3"), "page")
+    assert [g[0] for g in got] == list(range(10))
+
+
+def test_a_chapter_header_in_a_long_file(spark):
+    pages = [("l", k, (f"Harbour Chapter Title\n" if 30 <= k < 38 else f"Opening words number{chr(97 + k % 26)}{chr(97 + k // 26)} here\n") + BODY) for k in range(100)]
+    df = spark.createDataFrame(pages, "doc_id string, page int, text string")
+    assert [g[0] for g in rows(damaged_lines(df).filter("damage = 'header'"), "page")] == list(range(30, 38))
+
+
+def test_copies_do_not_make_a_misread_word_right(spark):
+    pages = [("c", k, f"{BODY} Page of the year{chr(97 + k)}.") for k in range(26)] + [("d", k, BODY.replace("winter", "wintcr")) for k in range(13)]
+    df = spark.createDataFrame(pages, "doc_id string, page int, text string")
+    got = rows(damaged_lines(df).filter("damage = 'ocr_error'"), "doc_id", "page")
+    assert got == [("d", k) for k in range(13)]
+
+
+def test_a_misread_word_broken_at_a_hyphen(spark):
+    pages = [("c", k, f"{BODY} Page of the year{chr(97 + k)}.") for k in range(26)] + [("d", 1, BODY.replace("agreement", "agrec-\nment"))]
+    df = spark.createDataFrame(pages, "doc_id string, page int, text string")
+    got = rows(damaged_lines(df).filter("doc_id = 'd'"), "line_no", "damage")
+    assert (1, "hyphen") in got and (1, "ocr_error") in got
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id string, page int, text string")
     assert damaged_lines(df).count() == 0 and repaired(df).count() == 0
