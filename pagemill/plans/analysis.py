@@ -106,22 +106,6 @@ def comparison_result(spark, folder):
     return c.select("user_id", F.round("c.difference", 4).alias("difference"), F.round("c.size", 4).alias("size"), "c.direction")
 
 
-@query(f"""WITH {QUESTIONS} SELECT question_id, CASE WHEN regexp_matches(lower(question), 'across the (document|report)') THEN 'document' WHEN regexp_matches(lower(question), '\\b(chart|figure|graph|diagram)\\b') THEN 'visual' WHEN regexp_matches(lower(question), '\\b(table|row|column)\\b') THEN 'table' ELSE 'text' END AS route,
-coalesce(nullif(regexp_extract(lower(question), '\\b(chart|figure|graph|diagram|table|row|column)\\b', 1), ''), '-') AS signal FROM questions""")
-def route_choice(spark, folder):
-    q = F.lower("question")
-    signal = F.regexp_extract(q, r"\b(chart|figure|graph|diagram|table|row|column)\b", 1)
-    route = F.when(q.rlike("across the (document|report)"), "document").when(q.rlike(r"\b(chart|figure|graph|diagram)\b"), "visual").when(q.rlike(r"\b(table|row|column)\b"), "table").otherwise("text")
-    return frames.questions(spark, folder).select("question_id", route.alias("route"), F.when(signal != "", signal).otherwise("-").alias("signal"))
-
-
-@query(f"""WITH {QUESTIONS} SELECT question_id, CASE WHEN regexp_matches(lower(question), '(by how much|how much more|difference)') THEN 'difference' WHEN regexp_matches(lower(question), '(comparing|compared|before)') THEN 'comparison' WHEN regexp_matches(lower(question), '^(q: )?(how many|what amount|which two figures)') THEN 'quantity' ELSE 'other' END AS intent, regexp_matches(lower(question), '(why|reason|warum|pourquoi)') AS asks_reason FROM questions""")
-def question_intent(spark, folder):
-    q = F.lower("question")
-    intent = F.when(q.rlike("(by how much|how much more|difference)"), "difference").when(q.rlike("(comparing|compared|before)"), "comparison").when(q.rlike("^(q: )?(how many|what amount|which two figures)"), "quantity").otherwise("other")
-    return frames.questions(spark, folder).select("question_id", intent.alias("intent"), q.rlike("(why|reason|warum|pourquoi)").alias("asks_reason"))
-
-
 @query(f"""WITH {QUESTIONS}, t AS (SELECT question_id, unnest(list_distinct({words('question')})) AS w FROM questions), s AS (SELECT question_id, CASE WHEN length(w) > 5 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END AS stem FROM t WHERE w NOT IN ('the', 'of', 'in', 'that', 'a', 'to', 'and'))
 SELECT stem, count(DISTINCT question_id) AS questions FROM s GROUP BY stem""")
 def stem_counts(spark, folder):
@@ -129,12 +113,6 @@ def stem_counts(spark, folder):
     return t.select("question_id", light_stem(F.col("w")).alias("stem")).groupBy("stem").agg(F.count_distinct("question_id").alias("questions"))
 
 
-@query(f"""WITH {QUESTIONS} SELECT question_id, CAST(len(p) AS BIGINT) AS clauses, trim(p[1]) AS first_clause FROM (SELECT question_id, string_split(question, ',') AS p FROM questions)""")
-def clause_split(spark, folder):
-    p = F.split("question", ",")
-    return frames.questions(spark, folder).select("question_id", F.size(p).cast("bigint").alias("clauses"), F.trim(p[0]).alias("first_clause"))
-
-
 @query("""SELECT event_type, count(*) AS events, count(DISTINCT json_extract_string(props, '$.k')) AS keys, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type""")
 def json_props(spark, folder):
     k = F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"]
@@ -144,16 +122,17 @@ def json_props(spark, folder):
 # joins and sets ---------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {LISTED}, p AS (SELECT DISTINCT doc_id, page FROM page_records) SELECT l.question_id, l.page FROM listed l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = l.doc_id AND p.page = l.page)""")
+@query(f"""WITH {LISTED}, p AS (SELECT DISTINCT doc_id, page FROM page_records), n AS (SELECT question_id, doc_id, page + 3 AS page FROM listed) SELECT l.question_id, l.page FROM n l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = l.doc_id AND p.page = l.page)""")
 def orphan_anti_join(spark, folder):
+    """Pages three after the listed ones that no file has."""
     p = table(spark, folder, "page_records").select("doc_id", "page").distinct()
-    return frames.listed_run(spark, folder).join(p, ["doc_id", "page"], "left_anti").select("question_id", "page")
+    return frames.listed_run(spark, folder).withColumn("page", F.col("page") + 3).join(p, ["doc_id", "page"], "left_anti").select("question_id", "page")
 
 
-@query(f"""WITH {GOLD} SELECT g.question_id, g.page, f.page_count FROM gold g JOIN doc_store f ON f.id = g.doc_id WHERE g.page NOT BETWEEN 1 AND f.page_count""")
+@query(f"""WITH {GOLD} SELECT g.question_id, g.page + 3 AS page, f.page_count FROM gold g JOIN doc_store f ON f.id = g.doc_id WHERE g.page + 3 NOT BETWEEN 1 AND f.page_count""")
 def range_violation_join(spark, folder):
     f = table(spark, folder, "doc_store").select(F.col("id").alias("doc_id"), "page_count")
-    return frames.gold(spark, folder).join(f, "doc_id").filter(~F.col("page").between(1, F.col("page_count"))).select("question_id", "page", "page_count")
+    return frames.gold(spark, folder).withColumn("page", F.col("page") + 3).join(f, "doc_id").filter(~F.col("page").between(1, F.col("page_count"))).select("question_id", "page", "page_count")
 
 
 @query("""WITH a AS (SELECT DISTINCT split_part(question_id, '::', 1) AS d FROM reasoning_inputs WHERE split = 'development_tune'), b AS (SELECT DISTINCT split_part(question_id, '::', 1) AS d FROM reasoning_inputs WHERE split <> 'development_tune') SELECT d AS doc_id FROM a EXCEPT SELECT d FROM b""")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import analysis, evidence, retrieval
+from pagemill.plans import analysis, comparison, evidence, retrieval
 
-MODULES = (retrieval, analysis, evidence)
+MODULES = (retrieval, analysis, evidence, comparison)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
