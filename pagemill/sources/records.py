@@ -58,9 +58,13 @@ def build_records(pages: DataFrame) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """``page, text`` of a folder with one text file a page, named with ``page-<n>``."""
+    """``page, text`` of a folder with one text file a page, named with ``page-<n>``; pages missing or there twice are an error."""
     files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    return files.select(F.regexp_extract("file", r"page-(\d+)", 1).cast("int").alias("page"), F.col("value").alias("text"))
+    pages = files.select(F.regexp_extract("file", r"page-(\d+)", 1).cast("int").alias("page"), F.col("value").alias("text"))
+    odd = integrity(pages.select(F.lit("").alias("doc_id"), "page")).head()
+    if odd:
+        raise ValueError(f"page files of {path}: {'some pages are there twice' if odd['repeated'] else 'some pages are missing'}")
+    return pages
 
 
 def read_word_table(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +102,31 @@ def integrity(pages: DataFrame) -> DataFrame:
     return g.select("doc_id", (F.col("n") != F.col("d")).alias("repeated"), ((F.col("lo") != 1) | (F.col("hi") != F.col("d"))).alias("gaps")).filter("repeated or gaps")
 
 
+def expected(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows if their keys are just those wanted, each once; raises with the number of missing, other and repeated keys."""
+    both = rows.groupBy(key).agg(F.count("*").alias("n")).join(wanted.select(key).distinct().withColumn("w", F.lit(1)), key, "full_outer")
+    found = both.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("other"), F.count_if(F.col("n") > 1).alias("repeated")).head().asDict()
+    if any(found.values()):
+        raise ValueError(f"keys that are not as expected: {found}")
+    return rows
+
+
+def missing_parts(wanted: DataFrame, done: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key, digest, todo``: parts to build, ``new`` where nothing is there and ``changed`` where its digest is another."""
+    had = done.select(key, F.col(digest).alias("had"), F.lit(True).alias("there"))
+    todo = F.when(F.col("there").isNull(), "new").when(~F.col("had").eqNullSafe(F.col(digest)), "changed")
+    return wanted.select(key, digest).join(had, key, "left").select(key, digest, todo.alias("todo")).filter("todo is not null")
+
+
+def answered_by(local: DataFrame, outside: DataFrame, keys: list[str], value: str, digest: str) -> DataFrame:
+    """Local values with outside ones where there is none; an outside value for another input (by digest) is an error."""
+    other = outside.select(*keys, F.col(value).alias("outer"), F.col(digest).alias("of"))
+    both = local.join(other, keys, "left")
+    stale = F.col(value).isNull() & F.col("outer").isNotNull() & ~F.col("of").eqNullSafe(F.col(digest))
+    chosen = F.when(stale, F.raise_error(F.lit("an outside value is of another input"))).otherwise(F.coalesce(value, "outer"))
+    return both.withColumn(value, chosen).drop("outer", "of")
+
+
 def canonical_json(value: object) -> bytes:
     """JSON with sorted keys, two spaces and a newline at the end."""
     return (json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()

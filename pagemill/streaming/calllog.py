@@ -76,11 +76,9 @@ def keep_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates(keys)
-        try:
+        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(path):  # not before the first batch
             rows = rows.join(batch.sparkSession.read.parquet(target).select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         rows.write.mode("append").parquet(target)
 
     return write

@@ -102,3 +102,28 @@ def test_plugs(spark):
 
     assert rows(plugs.answered(req, known, call), "request", "answer", "status") == [("1", "xx", "ok"), ("2", "old", "known"), ("3", "no", "error")]
     assert rows(plugs.answered(req, known), "request", "status") == [("1", "pending"), ("2", "known"), ("3", "pending")]
+
+
+def test_expected_keys_missing_parts_and_outside_values(spark, tmp_path):
+    import pytest
+
+    from pagemill.sources.records import answered_by, expected, missing_parts, read_page_files
+
+    a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "k string, d string")
+    assert expected(a, a, "k").count() == 3
+    for bad in (a.filter("k != 'x'"), a.unionByName(a), a.unionByName(spark.createDataFrame([("w", "4")], "k string, d string"))):
+        with pytest.raises(ValueError):
+            expected(bad, a, "k")
+    done = spark.createDataFrame([("x", "1"), ("y", "9")], "k string, d string")
+    assert sorted(tuple(r) for r in missing_parts(a, done, "k", "d").collect()) == [("y", "2", "changed"), ("z", "3", "new")]
+    local = spark.createDataFrame([("x", "h", "own"), ("y", "h", None), ("z", "h", None)], "k string, h string, v string")
+    outer = spark.createDataFrame([("y", "h", "out")], "k string, h string, v string")
+    assert sorted((r.k, r.v) for r in answered_by(local, outer, ["k"], "v", "h").collect()) == [("x", "own"), ("y", "out"), ("z", None)]
+    with pytest.raises(Exception, match="another input"):
+        answered_by(local, outer.selectExpr("k", "'g' as h", "v"), ["k"], "v", "h").collect()
+    for n in (1, 2, 3):
+        (tmp_path / f"page-{n}.txt").write_text("text")
+    assert read_page_files(spark, str(tmp_path)).count() == 3
+    (tmp_path / "page-2.txt").unlink()
+    with pytest.raises(ValueError):
+        read_page_files(spark, str(tmp_path))
