@@ -2,14 +2,14 @@
 
 A word is the sum of hashed embeddings of its character runs and of itself; a stretch is the average over
 its words' runs, and a linear softmax over that average gives the language. Embeddings and softmax are
-trained together by stochastic gradient descent on at most ``SAMPLE`` documents with a usable label, in
-order of a hash of their id; sentences whose label the first fit doubts are left out of the second, because
+trained together by stochastic gradient descent on at most ``DRAWN`` sentences of each of at most ``SAMPLE`` documents
+with a usable label, in order of a hash of their id; sentences whose label the first fit doubts are left out of the second, because
 labels are wrong at times. A temperature fitted on held-out sentences calibrates the confidence, and
 sentences under ``REJECT`` take no part in what a stretch is. Since the softmax is linear, embeddings and
 weights fold into one score table of fixed size, which is all that travels to the tasks.
 
 Defined results: null and empty texts have no language (null, confidence 0); a text without a sentence that
-is sure enough takes the language of all its words; rows with a null id are ignored; rows delivered twice
+is sure enough takes the language of all its words, and none (null) if these are not sure enough either; rows with a null id are ignored; rows delivered twice
 count once; further columns are ignored.
 """
 
@@ -40,7 +40,8 @@ NAMES = {
 }
 #: Labels that name no language.
 NO_LABEL = ("", "-", "?", "??", "und", "unk", "unknown", "none", "null", "n/a", "na", "xx", "zxx", "mul", "mis")
-SAMPLE, SAMPLE_CHARS = 1200, 3000
+#: Documents of the sample that the model is fitted on, and sentences drawn from the whole text of each.
+SAMPLE, DRAWN = 1200, 24
 BUCKETS, DIM, REJECT = 1 << 15, 12, 0.6
 #: Characters of the longest heading.
 HEADING = 60
@@ -164,9 +165,9 @@ def train(labelled: list[tuple[str, str, bool]], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     texts, y = [], []
     for text, code, is_list in labelled:
-        for u in units(prepared(text), is_list):
-            if len(u) < 12:
-                continue
+        own = [u for u in units(prepared(text), is_list) if len(u) >= 12]
+        drawn = range(len(own)) if len(own) <= DRAWN else sorted(rng.choice(len(own), DRAWN, replace=False).tolist())
+        for u in (own[k] for k in drawn):
             texts.append(u)
             y.append(LANGS.index(code))
             parts = u.split()
@@ -206,7 +207,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
     limit = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
     if limit is None:
         return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS)), 1.0)
-    part = rows.filter(F.col("h") <= limit).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "code").orderBy("h").limit(sample)
+    part = rows.filter(F.col("h") <= limit).select("h", "text", "code").orderBy("h").limit(sample)
     got = with_kind(part).filter(F.col("kind").isin("prose", "list")).orderBy("h", "text").collect()
     return train([(r["text"], r["code"], r["kind"] == "list") for r in got if r["text"]])
 
@@ -280,8 +281,9 @@ def detect(docs: DataFrame, model: Model, kind: str = "kind") -> DataFrame:
                     if kd != "list" and len(set(q.argmax(axis=1)[q.max(axis=1) >= REJECT].tolist())) > 1:
                         q = np.where(np.array([_is_sentence(u) for u in x])[:, None], q, 0)  # headings end no language
                     runs = _stretches(q)
-                    runs = [r for r in runs if r["n"] >= 2] or [{"lang": LANGS[int(whole.argmax())], "confidence": float(whole.max()), "first": 0, "last": len(x) - 1}]
-                    langs.append(LANGS[int(whole.argmax())])
+                    known = LANGS[int(whole.argmax())] if whole.max() >= REJECT else None
+                    runs = [r for r in runs if r["n"] >= 2] or ([{"lang": known, "confidence": float(whole.max()), "first": 0, "last": len(x) - 1}] if known else [])
+                    langs.append(known)
                     sures.append(float(whole.max()))
                     parts.append([{k: r[k] for k in ("lang", "confidence", "first", "last")} for r in runs])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sures, pa.float64()), pa.array(parts, pa.list_(_PART))], names=["doc_id", "lang", "confidence", "parts"])
