@@ -176,7 +176,8 @@ class _Items:
             band = (np.repeat(near - w.first[w.text[near]], many) - at[k]) >> 3
             band = np.concatenate([band, band + 1]) + (1 << 31)
             text, item, place = (np.concatenate([x, x]) for x in (text, of[k], at[k]))
-            enough = np.bincount(text * len(self.ids) + item, minlength=1)[text * len(self.ids) + item] >= 2 * self.least[item]
+            _, of_pair, times = np.unique(text * len(self.ids) + item, return_inverse=True, return_counts=True)  # only pairs that meet
+            enough = times[of_pair] >= 2 * self.least[item]
             text, item, place, band = text[enough], item[enough], place[enough], band[enough]
             order = np.lexsort((place, band, item, text))
             text, item, place, band = text[order], item[order], place[order], band[order]
