@@ -15,6 +15,8 @@ results; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,37 @@ def record_groups(rows: DataFrame) -> DataFrame:
     return ids.join(names, "root").select("question_id", "group_id", "size")
 
 
+class _Movers:
+    """Bundles with units in each split, by the split they are in now, smallest name first; a move's price follows from these two."""
+
+    def __init__(self, splits: list[str], keep: dict, sent: dict):
+        self.splits, self.keep, self.sent = splits, keep, sent
+        self.heaps: dict = {}
+
+    def put(self, bundle, split: str) -> None:
+        own = self.keep.get(bundle)
+        heapq.heappush(self.heaps.setdefault((split, own if own in self.splits else None), []), (str(bundle), bundle))
+
+    def _head(self, split: str, own):
+        heap = self.heaps.get((split, own), [])
+        while heap and self.sent[heap[0][1]][split] <= 0:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def cheapest(self, s: str, t: str):
+        """``(price, name, bundle)`` of the cheapest unit that goes from ``s`` to ``t``; none if there is no unit."""
+        rest = [h for own in (*self.splits, None) if own not in (s, t) and (h := self._head(s, own))]
+        for price, head in ((-1, self._head(s, t)), (0, min(rest, default=None)), (1, self._head(s, s))):
+            if head:
+                return (price, *head)
+        return None
+
+
 def flow(supply: dict, quota: dict[str, float], keep: dict) -> dict:
     """Units of each bundle for each split by successive shortest paths.
 
     supply: units of each bundle; quota: units wanted of each split; keep: the split a bundle is in now.
-    Moving a unit costs 1, a unit beyond a quota 3.
+    Moving a unit costs 1, a unit beyond a quota 3. Time grows with the number of bundles times its logarithm.
     """
     splits = sorted(quota)
     total = sum(supply.values())
@@ -97,22 +125,27 @@ def flow(supply: dict, quota: dict[str, float], keep: dict) -> dict:
         base += room[s]
     for s in sorted(splits, key=lambda s: (room[s] - quota[s], s))[: max(0, total - base)]:
         room[s] += 1
-    over = {s: 0 for s in splits}
     sent = {b: dict.fromkeys(splits, 0) for b in supply}
+    movers = _Movers(splits, keep, sent)
     cost = lambda b, s: 0 if keep.get(b) == s else 1
+
+    def add(b, s: str, n: int) -> None:
+        if sent[b][s] == 0 and n > 0:
+            sent[b][s] = n
+            movers.put(b, s)
+        else:
+            sent[b][s] += n
+
     for b in sorted(supply, key=lambda b: (-supply[b], str(b))):
         left = supply[b]
         while left > 0:
             # cheapest way from b to a split with room: directly, or by moving units of other bundles on
             dist = {s: (cost(b, s), None, None) for s in splits}
+            moves = {(s, t): movers.cheapest(s, t) for s in splits for t in splits if s != t}
             for _ in splits:
-                for s in splits:
-                    for t in splits:
-                        if s == t:
-                            continue
-                        movers = [(cost(x, t) - cost(x, s), str(x), x) for x in sent if sent[x][s] > 0]
-                        if movers and dist[s][0] + (d := min(movers))[0] < dist[t][0]:
-                            dist[t] = (dist[s][0] + d[0], s, d[2])
+                for (s, t), d in moves.items():
+                    if d and dist[s][0] + d[0] < dist[t][0]:
+                        dist[t] = (dist[s][0] + d[0], s, d[2])
             ends = [(dist[s][0] + (0 if room[s] > 0 else 3), s) for s in splits]
             _, end = min(ends)
             path, s = [], end
@@ -120,14 +153,12 @@ def flow(supply: dict, quota: dict[str, float], keep: dict) -> dict:
                 path.append((dist[s][2], dist[s][1], s))
                 s = dist[s][1]
             amount = min([left, *([room[end]] if room[end] > 0 else []), *(sent[x][f] for x, f, _ in path)])
-            sent[b][s] += amount
+            add(b, s, amount)
             for x, f, t in path:
-                sent[x][f] -= amount
-                sent[x][t] += amount
+                add(x, f, -amount)
+                add(x, t, amount)
             if room[end] > 0:
                 room[end] -= amount
-            else:
-                over[end] += amount
             left -= amount
     return sent
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from conftest import rows
 
@@ -56,3 +57,14 @@ def test_splits_near_shares_and_never_within_a_group(spark):
     assert all(len(s) == 1 for s in by.values())
     again = assign_splits(table(spark, data).repartition(7), targets).collect()
     assert {tuple(x) for x in got} == {tuple(x) for x in again}
+
+
+def test_flow_over_many_bundles_is_quick():
+    r = random.Random(4)
+    now = ["a", "b", "c"]
+    supply = {(k, s): k * r.randrange(1, 50) for k in range(1, 5000) for s in r.sample(now, 2)}
+    total = sum(supply.values())
+    began = time.time()
+    sent = flow(supply, {"a": 0.7 * total, "b": 0.1 * total, "c": 0.2 * total}, {b: b[1] for b in supply})
+    assert time.time() - began < 5 and all(sum(sent[b].values()) == n for b, n in supply.items())
+    assert abs(sum(x["a"] for x in sent.values()) - 0.7 * total) <= 1
