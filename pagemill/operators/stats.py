@@ -11,9 +11,9 @@ from pagemill.operators.storage import stored
 def ranged(rows: DataFrame, *order: Column) -> DataFrame:
     """The rows with ``part``: consecutive ranges of an order, so running totals need no task that holds all rows.
 
-    Stored, as the ranges must stay the same in every use.
+    Stored, as the ranges must stay the same in every use; stored before as well, as finding the ranges reads the rows twice.
     """
-    return stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    return stored(stored(rows, "unranged").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
 
 
 def totals_before(parts: DataFrame, **sums: Column) -> DataFrame:
