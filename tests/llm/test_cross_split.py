@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from conftest import rows
 
-from pagemill.llm.cross_split import SHARED, SLOTS, Counts, _bags, alike, chosen_paths, cross_split_pairs, numbers, overlap_report, recurring
+from pagemill.llm.cross_split import SHARED, SLOTS, Block, Counts, _bags, _numbered, _parities, alike, chosen_paths, cross_split_pairs, near, numbers, overlap_report, recurring
 from pagemill.llm.textcodes import mix
 
 T, E = "development_tune", "locked_test"
@@ -128,6 +128,52 @@ def test_pairs_with_70_to_85_percent_of_the_words(spark):
     assert got == want and len(want) >= 240
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Short pages with evenly spread damage share few runs of words, pages of one template little else than frequent ones."""
+    r = random.Random(12)
+    template = [f"t{k}" for k in range(42)]
+    pages = []
+    for k in range(500):
+        w = [f"w{r.randrange(300)}" for _ in range(r.randrange(20, 60))]
+        m = int(0.3 * len(w) + 1e-9)
+        at = {j * len(w) // m for j in range(m)}
+        pages += [("a", T, k, w), ("b", E, k, [f"e{k}x{j}" if j in at else x for j, x in enumerate(w)])]
+    for k in range(500, 540):
+        pages += [(s[0], s, k, [f"{s[0]}{k}x{j // 10}" if j % 10 in (2, 5, 8) else template[j % 42] for j in range(60)]) for s in (T, E)]
+    got, want = _page_pairs(spark, [(d[0], s, k, w) for d, s, k, w in pages])
+    assert got == want and len(want) >= 500 + 40 * 40
+
+
+def test_parities_lose_no_pair():
+    r = random.Random(13)
+    texts = [[r.randrange(1, 400) for _ in range(r.choice([1, 20, 22, 40, 44, 90, 130]))] for _ in range(60)]
+    for k in range(60):
+        w = list(texts[k])
+        for j in r.sample(range(len(w)), int(0.3 * len(w))):
+            w[j] = r.randrange(1000, 9999)
+        texts.append(w)
+    texts.sort(key=len)
+
+    def block(own):
+        first = np.concatenate([[0], np.cumsum([len(t) for t in own])])
+        code = mix(np.array(sum(own, []), np.uint64))
+        short = (code >> np.uint64(32)).astype(np.uint32)
+        n = np.diff(first)
+        row = {"ids": np.arange(len(own)), "ns": n.astype(np.int32), "nums": 0 * n, "words": short, "marks": _numbered(short, first)}
+        return Block({k: x.tobytes() for k, x in row.items()} | {"bits": b"".join(_parities(code, first))})
+
+    widths = {}
+    for t in texts:
+        widths.setdefault(max(64, 1 << (3 * len(t) - 1).bit_length()), []).append(t)
+    lost = kept = every = 0
+    for a in widths.values():
+        for b in widths.values():
+            found = {(k, j) for k, hits in near(block(a), block(b), 0.7) for j in hits.tolist()}
+            want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if sum((Counter(x) & Counter(y)).values()) >= 0.7 * max(len(x), len(y)) - 1e-9}
+            lost, kept, every = lost + len(want - found), kept + len(found), every + len(a) * len(b)
+    assert not lost and kept < every / 4
+
+
 def test_several_hundred_near_copies_on_both_sides(spark):
     r = random.Random(5)
     w = [f"w{r.randrange(2000)}" for _ in range(250)]
