@@ -134,9 +134,9 @@ def linked_section(questions: DataFrame, sections: DataFrame, least: int = 2, sc
 def best_reading(candidates: DataFrame, key: str) -> DataFrame:
     """``key, rotation``: the reading with the most confidence mass, then mean, then words, then first preference.
 
-    candidates: ``key, rotation, mass, mean, words, preference``.
+    candidates: ``key, rotation, mass, mean, words, preference``. Readings equal in all of these go by the smaller rotation.
     """
-    return candidates.groupBy(key).agg(F.max_by("rotation", F.struct("mass", "mean", "words", -F.col("preference"))).alias("rotation"))
+    return candidates.groupBy(key).agg(F.max_by("rotation", F.struct("mass", "mean", "words", -F.col("preference"), -F.col("rotation"))).alias("rotation"))
 
 
 def pixel_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -59,6 +59,12 @@ def test_modality_boxes_and_readings(spark):
     assert rows(c.best_reading(read, "id")) == [("p", 0)]
 
 
+def test_readings_equal_in_all_columns_do_not_depend_on_the_order_of_rows(spark):
+    for rotations in ((0, 90, 180), (180, 90, 0), (90, 0, 180)):
+        read = spark.createDataFrame([("p", x, 5.0, 1.0, 3, 0) for x in rotations], "id string, rotation int, mass double, mean double, words int, preference int").coalesce(1)
+        assert rows(c.best_reading(read, "id")) == [("p", 0)]
+
+
 def test_complete_joins(spark):
     a = spark.createDataFrame([("k1", "x", 1), ("k2", "x", 2), ("k4", "x", 3), ("k5", "x", 3), ("k5", "x", 4)], "k string, f string, v int")
     b = spark.createDataFrame([("k1", "x", 5), ("k2", "y", 6), ("k3", "x", 7), ("k5", "x", 8)], "k string, f string, w int")
