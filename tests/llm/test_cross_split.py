@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from conftest import rows
 
+from pagemill.llm import cross_split
 from pagemill.llm.cross_split import SHARED, SLOTS, Block, Counts, _bags, _numbered, _parities, alike, chosen_paths, cross_split_pairs, near, numbers, overlap_report, recurring
 from pagemill.llm.textcodes import mix
 
@@ -174,6 +175,32 @@ def test_parities_lose_no_pair():
     assert not lost and kept < every / 4
 
 
+def test_maps_lose_no_pair_and_leave_few_to_compare(monkeypatch):
+    """Pages of the phrases of one language, some with the threshold's damage: other pages are told apart by the maps alone."""
+    r = random.Random(14)
+    phrases = [[r.randrange(1, 300) if r.random() < 0.5 else r.randrange(300, 2000) for _ in range(r.randrange(3, 8))] for _ in range(400)]
+    sides = [[sum((r.choice(phrases) for _ in range(r.randrange(8, 40))), []) for _ in range(n)] for n in (700, 60)]
+    for k in range(60):
+        w = list(sides[0][10 * k])
+        for j in r.sample(range(len(w)), int(0.3 * len(w))):
+            w[j] = r.randrange(10000, 99999)
+        sides[1].append(w)
+    blocks = []
+    for own in sides:
+        own.sort(key=len)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in own])])
+        short = (mix(np.array(sum(own, []), np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        n = np.diff(first)
+        blocks.append(Block({k: x.tobytes() for k, x in {"ids": np.arange(len(own)), "ns": n.astype(np.int32), "nums": 0 * n, "words": short, "marks": _numbered(short, first)}.items()}))
+    passed = []
+    own = cross_split.Maps.passing
+    monkeypatch.setattr(cross_split.Maps, "passing", lambda *x: passed.append(own(*x)) or passed[-1])
+    monkeypatch.setattr(cross_split, "SMALL", 0)
+    found = {(k, j) for k, hits in near(blocks[1], blocks[0], 0.7) for j in hits.tolist()}
+    want = {(i, j) for i, x in enumerate(sides[1]) for j, y in enumerate(sides[0]) if sum((Counter(x) & Counter(y)).values()) >= 0.7 * max(len(x), len(y)) - 1e-9}
+    assert want <= found and len(want) >= 60 and sum(len(k) for k, _ in passed) < 0.01 * len(sides[0]) * len(sides[1])
+
+
 def test_several_hundred_near_copies_on_both_sides(spark):
     r = random.Random(5)
     w = [f"w{r.randrange(2000)}" for _ in range(250)]
