@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -54,7 +55,7 @@ FLUSH = 300_000
 HYPHENS = "-¬­‐"
 _TOKEN = re.compile(r"!?[^\W_]+(?:[-!][^\W_]+)*")
 _STOPPED = re.compile(r"[^\W\d_].{5,60}[^.\s]\.")
-_WORDS = re.compile(r"!?\w+(?:[-!]\w+)*")
+_WORDS = re.compile(r"!?\w++(?:[-!]\w++)*+")
 #: A mark at a line's end with the start of the next line, and the word that ends before it.
 _BREAK = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W_]|!)")
 _BEFORE = re.compile(r"[^\W_]+(?:[-!][^\W_]+)*$")
@@ -81,17 +82,19 @@ def line_key(line: str) -> str:
         words.pop(0)
     while words and len(words) > 1 and _number(words[-1]) is not None and len(words[-1]) < 4:
         words.pop()
-    out = []
-    for w in words:
-        if sum(c.isdigit() for c in w) * 2 > len(w):
-            out.append("#")
-            continue
-        w = unicodedata.normalize("NFKC", w).casefold().translate(_SHAPE)
-        for a, b in (("vv", "w"), ("rn", "m"), ("d", "el"), ("ii", "u"), ("in", "m"), ("li", "h")):
-            w = w.replace(a, b)
-        out.append(w)
-    key = " ".join(out)
-    return key if sum(c.isalpha() for c in key) >= 6 else ""
+    out = [_form(w) for w in words]
+    return " ".join([w for w, _ in out]) if sum([n for _, n in out]) >= 6 else ""
+
+
+@lru_cache(1 << 16)
+def _form(word: str) -> tuple[str, int]:
+    """A word of ``line_key`` and its letters."""
+    if sum(c.isdigit() for c in word) * 2 > len(word):
+        return "#", 0
+    word = unicodedata.normalize("NFKC", word).casefold().translate(_SHAPE)
+    for a, b in (("vv", "w"), ("rn", "m"), ("d", "el"), ("ii", "u"), ("in", "m"), ("li", "h")):
+        word = word.replace(a, b)
+    return word, sum(c.isalpha() for c in word)
 
 
 def _goes_on(line: str) -> bool:
@@ -128,16 +131,30 @@ class _Out:
         self.rows: list[tuple] = []
         self.words: Counter = Counter()
         self.texts: dict[str, int] = {}
+        #: Words of the texts of each place, not yet in ``texts``; words looked at, and those of them written as names.
+        self.places: list[set[str]] = [set() for _ in range(PLACES)]
+        self.known: set[str] = set()
+        self.titles: set[str] = set()
         self.forms: set[str] = set()
         self.names: Counter = Counter()
 
     def flush(self, all_: bool = False) -> Iterator[pa.RecordBatch]:
-        if all_ or len(self.words) > FLUSH:
+        full = all_ or len(self.words) > FLUSH
+        if full or sum(map(len, self.places)) > 4 * FLUSH:
+            texts = self.texts
+            for k, own in enumerate(self.places):
+                place = 1 << k
+                for w in own:
+                    texts[w] = texts.get(w, 0) | place
+                own.clear()
+        if full:
             texts = self.texts.get
             self.rows += [("word", None, None, None, w, None, n, texts(w, 0)) for w, n in self.words.items() if n or w in self.forms]
             self.words.clear()
             self.forms.clear()
             self.texts.clear()
+            self.known.clear()
+            self.titles.clear()
         if all_ or len(self.names) > FLUSH:
             self.rows += [("name", d, None, None, w, None, n, None) for (d, w), n in self.names.items()]
             self.names.clear()
@@ -152,7 +169,10 @@ def broken_at(text: str) -> list[tuple[int, str, str, str]]:
     """Broken words ``(line from 0, first part, mark, second part)``."""
     out, line, at = [], 0, 0
     for m in _BREAK.finditer(text):
-        first, second = _BEFORE.search(text[max(0, m.start() - LONGEST) : m.start()]), _TOKEN.match(text, m.end())
+        before = text[max(0, m.start() - LONGEST) : m.start()]
+        if before and not before[-1].isspace():  # no word goes over a space
+            before = before.rsplit(None, 1)[-1]
+        first, second = _BEFORE.search(before), _TOKEN.match(text, m.end())
         if not first or not second:
             continue
         a, b = first.group(), second.group()
@@ -182,11 +202,12 @@ def _first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     out.rows.append(("edge", d, p, k + 1, key, line, at, None))
             words, names, tokens = out.words, out.names, _tokens(t)
             words.update(tokens)
-            place, texts = 1 << crc32(t.encode("utf-8", "surrogatepass")) % PLACES, out.texts
-            for w in set(tokens):
-                texts[w] = texts.get(w, 0) | place
-                if w[0].isupper() and len(w) >= 5 and w[1:].islower():
-                    names[d, w] += 1
+            place, own = out.places[crc32(t.encode("utf-8", "surrogatepass")) % PLACES], set(tokens)
+            place |= own
+            if new := own - out.known:
+                out.known |= new
+                out.titles.update([w for w in new if w[0].isupper() and len(w) >= 5 and w[1:].islower()])
+            names.update([(d, w) for w in own & out.titles])
             for k, a, mark, b in broken_at(t):
                 out.rows.append(("break", d, p, k + 1, a, b, 1 if mark == "-" or mark == "‐" else 0, None))
                 words[a] -= 1  # parts are no words
@@ -196,7 +217,7 @@ def _first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     out.forms.add(a + b)
                 else:
                     words[a + b] += 1
-                    texts[a + b] = texts.get(a + b, 0) | place
+                    place.add(a + b)
         yield from out.flush()
     yield from out.flush(True)
 
@@ -309,22 +330,19 @@ def _misread_lines(pages: DataFrame, bad: DataFrame) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(bytes(flags))
 
     def second_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, seen = sent.value, {}
+        on = sent.value
+        clean: set[str] = set()  # words that are not looked for
         for batch in batches:
             rows: list[tuple] = []
             docs, nums, texts = (c.to_pylist() for c in batch.columns)
             for d, p, t in zip(docs, nums, texts):
                 if not t:
                     continue
-                hits = []
-                for w in set(_tokens(t)):
-                    hit = seen.get(w)
-                    if hit is None:
-                        hit = seen[w] = on[crc32(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]
-                    if hit:
-                        hits.append(w)
-                if len(seen) > FLUSH:
-                    seen.clear()
+                new = set(_tokens(t)) - clean
+                hits = [w for w in new if on[crc32(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]]
+                clean |= new.difference(hits)
+                if len(clean) > FLUSH:
+                    clean.clear()
                 parts = broken_at(t)
                 inner = {(k, a) for k, a, _, _ in parts} | {(k + 1, b) for k, _, _, b in parts}
                 if hits:

@@ -1,5 +1,6 @@
 from conftest import rows
 
+from pagemill.llm import scan_repair
 from pagemill.llm.scan_repair import broken_at, damaged_lines, line_key, page_number, repair_text, repaired, undone
 
 BODY = "The council reported that the harbour measured several provisions of the agreement with better instruments before the winter."
@@ -90,3 +91,18 @@ def test_empty_table(spark):
 def test_clean_text_is_kept():
     assert repair_text("", []) == ""
     assert repair_text("a line that goes on\nand ends here.\n\nNext one.", []) == "a line that goes on and ends here.\n\nNext one."
+
+
+def test_word_before_a_break_is_looked_for_in_one_piece_of_the_line(monkeypatch):
+    looked, own = [], scan_repair._BEFORE
+
+    class Spy:
+        @staticmethod
+        def search(text):
+            looked.append(text)
+            return own.search(text)
+
+    monkeypatch.setattr(scan_repair, "_BEFORE", Spy)
+    text = "some words of a well-kn-\nown line and vv!ndow-\nsill, mark alone -\nbar, a line\n-\nbelow, open (bra-\ncket"
+    assert scan_repair.broken_at(text) == [(0, "well-kn", "-", "own"), (1, "vv!ndow", "-", "sill"), (4, "line", "-", "below"), (5, "bra", "-", "cket")]
+    assert looked[:2] == ["well-kn", "vv!ndow"] and looked[-1] == "(bra"
